@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from halfstar.functions.scalars import popularity_weight, ratio
@@ -23,9 +23,10 @@ def table_counts(**tables: DataFrame) -> DataFrame:
 def distinct_counts(ratings: DataFrame, tags: DataFrame, approximate: bool = False) -> DataFrame:
     """Distinct users, movies and tags as (entity, n)."""
     count = F.approx_count_distinct if approximate else F.countDistinct
-    of = lambda df, entity, column: df.agg(count(column).alias("n")).select(F.lit(entity).alias("entity"), "n")
+    rated = ratings.agg(count("userId").alias("users"), count("movieId").alias("movies"))
+    tagged = tags.agg(count("tag").alias("tags"))
     return (
-        of(ratings, "users", "userId").unionAll(of(ratings, "movies", "movieId")).unionAll(of(tags, "tags", "tag"))
+        rated.unpivot([], ["users", "movies"], "entity", "n").unionAll(tagged.unpivot([], ["tags"], "entity", "n"))
     )
 
 
@@ -135,14 +136,17 @@ def top_items(ratings: DataFrame, n: int = 10) -> DataFrame:
     return item_popularity(ratings).orderBy(F.desc("n"), "movieId").limit(n)
 
 
-def pivot_user_item(ratings: DataFrame, users: list[int], items: list[int]) -> DataFrame:
-    """Zero-filled wide matrix of a bounded set of users and items; one column ``m<id>`` per item."""
-    few = ratings.where(F.col("userId").isin(users) & F.col("movieId").isin(items))
+def pivot_user_item(ratings: DataFrame, n_items: int = 20) -> DataFrame:
+    """Zero-filled wide matrix of all users by the most popular items.
+
+    One column per popularity rank (item_1, item_2, ...), so the width is fixed
+    and only users without any of the items have no rating to aggregate.
+    """
+    top = top_items(ratings, n_items)
+    place = F.row_number().over(Window.orderBy(F.desc("n"), "movieId"))
+    placed = F.broadcast(top.select("movieId", place.alias("place")))
     cells = [
-        F.coalesce(F.max(F.when(F.col("movieId") == item, F.col("rating"))), F.lit(0.0)).alias(f"m{item}")
-        for item in items
+        F.coalesce(F.max(F.when(F.col("place") == p, F.col("rating"))), F.lit(0.0)).alias(f"item_{p}")
+        for p in range(1, n_items + 1)
     ]
-    everyone = ratings.sparkSession.createDataFrame([(u,) for u in users], "userId int")
-    wide = few.groupBy("userId").agg(*cells)
-    filled = [F.coalesce(f"m{item}", F.lit(0.0)).alias(f"m{item}") for item in items]
-    return everyone.join(wide, "userId", "left").select("userId", *filled)
+    return ratings.join(placed, "movieId", "left").groupBy("userId").agg(*cells)

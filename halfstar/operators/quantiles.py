@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from halfstar.operators.skew import TASK_ROWS, heavy_frame, heavy_groups
+from halfstar.operators.skew import TASK_ROWS, heavy_table, prefixed, same_group
 
 SKETCH_ACCURACY = 100_000
 
@@ -27,23 +27,19 @@ def exact_order_statistics(
 ) -> DataFrame:
     """Values at the 1-based ascending ``ranks(n)`` of each group, as columns v0, v1, ...
 
-    The ranks must lie within ``3/accuracy`` of the quantile ``centre``. For a
-    bounded number of groups (the heavy ones): their brackets are broadcast.
+    The ranks must lie within ``3/accuracy`` of the quantile ``centre``.
     """
     key = F.col(value).cast("double")
     margin = 4.0 / accuracy
     low, high = max(0.0, centre - margin), min(1.0, centre + margin)
-    brackets = (
-        df.groupBy(*groups)
-        .agg(F.count(value).alias("n"), F.percentile_approx(key, [low, high], accuracy).alias("bracket"))
-        .select(*[F.col(g).alias(f"b_{g}") for g in groups], "n", "bracket")
+    brackets = df.groupBy(*groups).agg(
+        F.count(value).alias("n"), F.percentile_approx(key, [low, high], accuracy).alias("bracket")
     )
-    same_group = [F.col(g).eqNullSafe(F.col(f"b_{g}")) for g in groups]
     # The lowest bracket has nothing below it, the highest nothing above.
     below = (key < F.col("bracket")[0]) if low > 0 else F.lit(False)
     slots = (
         df.where(F.col(value).isNotNull())
-        .join(F.broadcast(brackets), same_group)
+        .join(prefixed(brackets, groups, "b_", "n", "bracket"), same_group(groups, "b_"))
         .where(key <= F.col("bracket")[1] if high < 1 else F.lit(True))
         .groupBy(*groups, "n", F.when(~below, F.col(value)).alias("slot"))
         .agg(F.count(F.lit(1)).alias("c"))
@@ -61,21 +57,14 @@ def exact_order_statistics(
     return result.select(*groups, "n", *checked)
 
 
-def exact_medians(
-    df: DataFrame, groups: list[str], values: list[str], heavy: list[Row] | None = None, task_rows: int = TASK_ROWS
-) -> DataFrame:
+def exact_medians(df: DataFrame, groups: list[str], values: list[str], heavy: DataFrame) -> DataFrame:
     """Exact medians of ``values`` per group, in columns of the same names; NULLs are skipped.
 
-    Ordinary groups use the built-in median; groups over ``task_rows`` rows
-    never sit in one task.
+    The ``heavy`` groups (see :func:`heavy_table`) never sit in one task; the
+    others use the built-in median.
     """
-    if heavy is None:
-        heavy = heavy_groups(df, *groups, task_rows=task_rows)
-    if not heavy:
-        return df.groupBy(*groups).agg(*[F.median(v).alias(v) for v in values])
-
-    hot = F.broadcast(heavy_frame(df, heavy, *groups).select(*[F.col(g).alias(f"h_{g}") for g in groups]))
-    is_hot = [F.col(g).eqNullSafe(F.col(f"h_{g}")) for g in groups]
+    hot = prefixed(heavy, groups, "h_")
+    is_hot = same_group(groups, "h_")
     light = df.join(hot, is_hot, "left_anti").groupBy(*groups).agg(*[F.median(v).alias(v) for v in values])
 
     long = (
@@ -93,3 +82,11 @@ def exact_medians(
         *[F.max(F.when(F.col("metric") == v, median)).alias(v) for v in values]
     )
     return light.unionByName(wide)
+
+
+def medians(df: DataFrame, groups: list[str], values: list[str], task_rows: int = TASK_ROWS) -> DataFrame:
+    """Exact medians per group; groups over ``task_rows`` rows are looked for and handled apart."""
+    heavy = heavy_table(df, *groups, task_rows=task_rows)
+    if heavy is None:
+        return df.groupBy(*groups).agg(*[F.median(v).alias(v) for v in values])
+    return exact_medians(df, groups, values, heavy)

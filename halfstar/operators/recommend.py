@@ -5,17 +5,19 @@ Every recommender returns rows of (userId, pos, movieId, score), pos from 1.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from halfstar.operators.skew import max_group_rows
+from halfstar.operators.skew import MAX_LISTED, TASK_ROWS, heavy_table, max_group_rows
 
 # Places of the item ranking looked at first; users who have rated nearly all of
 # them go on to a longer list.
 HEAD = 4096
 GROWTH = 16
-# A ranking up to this many (item, rank, score) rows is broadcast.
-BROADCAST_ROWS = 200_000
+# A ranking up to this many (item, score, place) rows is broadcast: at most some 40 MB.
+BROADCAST_ROWS = 2_000_000
 
 
 def ranked_order(score: Column) -> list[Column]:
@@ -52,13 +54,10 @@ def catalogue_counts(train: DataFrame, users: DataFrame) -> DataFrame:
     Describes users x items less the seen pairs without building the product:
     the seen part is taken off the totals.
     """
+    movie = F.col("movieId").cast("long")
     items = train.select("movieId").distinct()
-    totals = items.agg(
-        F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.col("movieId").cast("long")).alias("ids")).alias("t")
-    ).scalar()
-    seen = train.groupBy("userId").agg(
-        F.countDistinct("movieId").alias("n_seen"), F.sum_distinct(F.col("movieId").cast("long")).alias("seen_ids")
-    )
+    totals = items.agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum(movie).alias("ids")).alias("t")).scalar()
+    seen = train.groupBy("userId").agg(F.count(F.lit(1)).alias("n_seen"), F.sum(movie).alias("seen_ids"))
     return users.join(seen, "userId", "left").select("userId", "n_seen", "seen_ids", totals.alias("t")).select(
         "userId",
         F.col("t.n").alias("n_items"),
@@ -75,12 +74,51 @@ def head_candidates(scores: DataFrame, users: DataFrame, n: int) -> DataFrame:
     return users.select("userId", F.explode(listed).alias("item")).select("userId", "item.movieId", "item.score")
 
 
-def _from_head(scores: DataFrame, train: DataFrame, users: DataFrame, k: int, size: int) -> DataFrame:
-    """Users with ``free``: the first k unseen places of the ``size`` best items, and that ranking."""
-    best = scores.orderBy(*ranked_order(F.col("score"))).limit(size)
-    top = best.select(
-        "movieId", "score", F.row_number().over(Window.orderBy(*ranked_order(F.col("score")))).alias("place")
+def unseen_of_heavy(items: DataFrame, train: DataFrame, heavy: DataFrame) -> DataFrame:
+    """Rows of ``items`` for each of a few heavy users who has not rated them, with ``userId``.
+
+    Runs on the item side: an item carries the short list of heavy users that
+    have not seen it, so the shuffle is that of items and no user's seen items
+    meet in one task. Meant to be followed by a top-k, which drops rows in the
+    same stage. ``heavy`` must be a listed table.
+    """
+    everyone = heavy.agg(F.collect_list("userId")).scalar()
+    seen_by = (
+        train.join(heavy.select("userId"), "userId", "left_semi")
+        .groupBy("movieId")
+        .agg(F.collect_set("userId").alias("seen_by"))
     )
+    missing = F.array_except(everyone, F.coalesce("seen_by", F.array().cast("array<int>")))
+    joined = items.join(seen_by, "movieId", "left")
+    return joined.select(*items.columns, F.explode(missing).alias("userId"))
+
+
+def listed_heavy_users(
+    train: DataFrame, users: DataFrame, max_seen: int | None, heavy_seen: int
+) -> tuple[int, DataFrame | None]:
+    """(most items seen by any other user, those of ``users`` who have seen more than ``heavy_seen``).
+
+    No heavy users are singled out if there are too many to list; the bound
+    then covers everyone.
+    """
+    if max_seen is None:
+        max_seen = max_group_rows(train, "userId")
+    if max_seen <= heavy_seen:
+        return max_seen, None
+    heavy = heavy_table(train, "userId", task_rows=heavy_seen)
+    if heavy is None:
+        return heavy_seen, None
+    listed = heavy.limit(MAX_LISTED + 1).count() <= MAX_LISTED
+    return (heavy_seen, heavy.join(users, "userId", "left_semi")) if listed else (max_seen, None)
+
+
+def _from_head(
+    scores: DataFrame, train: DataFrame, users: DataFrame, k: int, size: int
+) -> tuple[DataFrame, DataFrame]:
+    """Users with ``free``, the first k unseen places among the ``size`` best items, and that ranking."""
+    order = ranked_order(F.col("score"))
+    best = scores.orderBy(*order).limit(size)
+    top = best.select("movieId", "score", F.row_number().over(Window.orderBy(*order)).alias("place"))
     if size <= BROADCAST_ROWS:
         top = F.broadcast(top)
     # Only seen items within the head matter: at most ``size`` small integers per user.
@@ -90,8 +128,7 @@ def _from_head(scores: DataFrame, train: DataFrame, users: DataFrame, k: int, si
         .groupBy("userId")
         .agg(F.collect_set("place").alias("seen"))
     )
-    none = F.array().cast("array<int>")
-    seen_or_none = F.coalesce("seen", none)
+    seen_or_none = F.coalesce("seen", F.array().cast("array<int>"))
     places = F.array_except(F.sequence(F.lit(1), F.lit(k) + F.size(seen_or_none)), seen_or_none)
     reachable = F.filter(places, lambda place: place <= size)
     free = users.join(seen, "userId", "left").select("userId", F.slice(reachable, 1, k).alias("free"))
@@ -100,27 +137,31 @@ def _from_head(scores: DataFrame, train: DataFrame, users: DataFrame, k: int, si
 
 def unseen_topk(
     scores: DataFrame, train: DataFrame, users: DataFrame, k: int = 10,
-    max_seen: int | None = None, head: int = HEAD,
+    max_seen: int | None = None, head: int = HEAD, heavy_seen: int = TASK_ROWS,
 ) -> DataFrame:
     """Top-k unseen items per user for a score that does not depend on the user.
 
     ``scores`` is (movieId, score). A user's k best unseen items lie among the
     ``k + seen`` best of all, so a short ranking with the seen places cut out
     answers most users; those who have seen too much of it use one 16 times as
-    long, and so on up to ``max_seen`` (the most ratings any user has).
+    long, and so on. Users with over ``heavy_seen`` seen items are answered from
+    the item side. ``max_seen``, if known, is the most ratings any user has.
     """
-    if max_seen is None:
-        max_seen = max_group_rows(train, "userId")
+    users = users.select("userId")
+    bound, heavy = listed_heavy_users(train, users, max_seen, heavy_seen)
+    found = []
+    if heavy is not None:
+        unseen = unseen_of_heavy(scores, train, heavy)
+        found.append(rank_candidates(unseen, k).select("userId", "pos", "movieId", "score"))
+        users = users.join(heavy, "userId", "left_anti")
     size = head + k
-    result = None
     while True:
         free, top = _from_head(scores, train, users, k, size)
-        last = size >= max_seen + k
+        last = size >= bound + k
         done = free if last else free.where(F.size("free") >= k)
         placed = done.select("userId", F.posexplode("free").alias("i", "place"))
-        found = placed.join(top, "place").select("userId", (F.col("i") + 1).alias("pos"), "movieId", "score")
-        result = found if result is None else result.unionByName(found)
+        found.append(placed.join(top, "place").select("userId", (F.col("i") + 1).alias("pos"), "movieId", "score"))
         if last:
-            return result
+            return reduce(DataFrame.unionByName, found)
         users = free.where(F.size("free") < k).select("userId")
         size = size * GROWTH

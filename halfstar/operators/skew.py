@@ -6,37 +6,48 @@ groups are called heavy, so a stale answer can cost time but never rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Rows of one group that a single task may sort or hold.
 TASK_ROWS = 1_000_000
-# Upper bound on the heavy groups handled apart, and so on what is broadcast for
-# them. A group that is not among the 10,000 largest has under 1/10,000 of all rows.
-MAX_HEAVY_GROUPS = 10_000
+# Heavy groups are listed and broadcast up to this many; more stay a distributed table.
+MAX_LISTED = 10_000
 
 _largest: dict[tuple, int] = {}
 
 
+def group_sizes(df: DataFrame, *keys: str) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
 def max_group_rows(df: DataFrame, *keys: str) -> int:
     """Rows of the largest group: one partially aggregated job, remembered per plan."""
     plan = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), keys)
     if plan not in _largest:
-        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        _largest[plan] = sizes.agg(F.max("n")).first()[0] or 0
+        _largest[plan] = group_sizes(df, *keys).agg(F.max("n")).first()[0] or 0
     return _largest[plan]
 
 
-def heavy_groups(df: DataFrame, *keys: str, task_rows: int = TASK_ROWS) -> list[Row]:
-    """The groups over ``task_rows`` rows as rows of (keys, n); at most MAX_HEAVY_GROUPS, largest first."""
+def heavy_table(df: DataFrame, *keys: str, task_rows: int = TASK_ROWS) -> DataFrame | None:
+    """The groups of more than ``task_rows`` rows as (keys, n), or None if there are none.
+
+    Up to MAX_LISTED groups come back listed and marked for broadcast; beyond
+    that the table is left distributed for the optimizer to size up.
+    """
     if max_group_rows(df, *keys) <= task_rows:
-        return []
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > task_rows)
-    return sizes.orderBy(F.desc("n"), *keys).limit(MAX_HEAVY_GROUPS).collect()
+        return None
+    heavy = group_sizes(df, *keys).where(F.col("n") > task_rows)
+    listed = heavy.limit(MAX_LISTED + 1).collect()
+    if len(listed) > MAX_LISTED:
+        return heavy
+    return F.broadcast(df.sparkSession.createDataFrame(listed, heavy.schema))
+
+
+def same_group(keys: list[str], prefix: str) -> list[Column]:
+    """Null-safe equality of the keys with their prefixed copies from :func:`prefixed`."""
+    return [F.col(key).eqNullSafe(F.col(f"{prefix}{key}")) for key in keys]
 
 
-def heavy_frame(df: DataFrame, heavy: list[Row], *keys: str) -> DataFrame:
-    """Heavy groups as a frame of (keys, n), typed as in ``df``. Bounded, so safe to broadcast."""
-    types = {field.name: field.dataType.simpleString() for field in df.schema.fields}
-    schema = ", ".join(f"`{key}` {types[key]}" for key in keys) + ", n bigint"
-    return df.sparkSession.createDataFrame([tuple(row) for row in heavy], schema)
+def prefixed(df: DataFrame, keys: list[str], prefix: str, *others: str) -> DataFrame:
+    return df.select(*[F.col(key).alias(f"{prefix}{key}") for key in keys], *others)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from halfstar.operators.profile import rows, user_activity
 from halfstar.operators.quantiles import exact_order_statistics
-from halfstar.operators.skew import TASK_ROWS, heavy_frame, heavy_groups
+from halfstar.operators.skew import TASK_ROWS, heavy_table
 
 
 def active_users(ratings: DataFrame, min_ratings: int = 5) -> DataFrame:
@@ -33,7 +33,7 @@ def label_split(
     and the rank. Users over ``task_rows`` ratings do not go through that
     window: their cut is found by an exact order statistic and compared to.
     """
-    heavy = heavy_groups(ratings, "userId", task_rows=task_rows)
+    heavy = heavy_table(ratings, "userId", task_rows=task_rows)
     latest_first = Window.partitionBy("userId").orderBy(F.desc("timestamp"), F.desc("movieId"))
     # The count shares the rank's ordering, so that one sort serves both.
     whole_user = latest_first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -47,10 +47,10 @@ def label_split(
             .select(*ratings.columns, (F.col("from_last") <= _n_test(F.col("n"), test_size)).alias("in_test"))
         )
 
-    if not heavy:
+    if heavy is None:
         return by_window(ratings)
 
-    hot = F.broadcast(heavy_frame(ratings, heavy, "userId").select("userId"))
+    hot = heavy.select("userId")
     # (timestamp, movieId) as one long: order-preserving, unique within the user.
     moment = F.col("timestamp") * F.lit(2**31) + F.col("movieId")
     keyed = ratings.join(hot, "userId", "left_semi").withColumn("moment", moment)
@@ -58,7 +58,7 @@ def label_split(
         keyed, ["userId"], "moment", lambda n: [n - _n_test(n, test_size) + 1], centre=1 - test_size
     ).select("userId", F.col("v0").alias("cut"), "n")
     hot_rows = (
-        keyed.join(F.broadcast(cuts), "userId")
+        keyed.join(cuts, "userId")
         .where(F.col("n") >= min_ratings)
         .withColumn("in_test", F.col("moment") >= F.col("cut"))
     )

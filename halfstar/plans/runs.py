@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from halfstar.functions.scalars import parse_num_cores
 from halfstar.models.als import als_fit, als_predict, als_recommend_unseen, biased_mf_fit
 from halfstar.operators.evaluate import error_metrics, ranking_report
-from halfstar.operators.quantiles import exact_medians
-from halfstar.operators.skew import heavy_groups
+from halfstar.operators.quantiles import exact_medians, medians
+from halfstar.operators.skew import heavy_table, prefixed, same_group
 from halfstar.sources.schemas import RUN_METRICS, RUNS
 
 CONFIG = ["model", "cores"]
@@ -41,19 +41,16 @@ def _aggregate(
     runs: DataFrame, spreads: Callable[[str], list[Column]], by: list[str], metrics: list[str], median_rows: int
 ) -> DataFrame:
     config = [*by, *CONFIG]
-    heavy = heavy_groups(runs, *config, task_rows=median_rows)
+    heavy = heavy_table(runs, *config, task_rows=median_rows)
     others = [column for m in metrics for column in spreads(m)]
     n_runs = F.count(F.lit(1)).alias("n_runs")
     names = [name for m in metrics for name in (m, *runs.agg(*spreads(m)).columns)]
-    if not heavy:
-        medians = [F.median(m).alias(m) for m in metrics]
-        return runs.groupBy(*config).agg(*medians, *others, n_runs).select(*config, *names, "n_runs")
+    if heavy is None:
+        middles = [F.median(m).alias(m) for m in metrics]
+        return runs.groupBy(*config).agg(*middles, *others, n_runs).select(*config, *names, "n_runs")
     rest = runs.groupBy(*config).agg(*others, n_runs)
-    medians = exact_medians(runs, config, metrics, heavy=heavy).select(
-        *[F.col(c).alias(f"m_{c}") for c in config], *metrics
-    )
-    same = [F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in config]
-    return rest.join(medians, same).select(*config, *names, "n_runs")
+    exact = prefixed(exact_medians(runs, config, metrics, heavy), config, "m_", *metrics)
+    return rest.join(exact, same_group(config, "m_")).select(*config, *names, "n_runs")
 
 
 def agg_runs_sample_std(
@@ -77,16 +74,13 @@ def agg_runs_pop_std(
 def median_run(runs: DataFrame, by: list[str] = (), metric: str = "rmse", median_rows: int = MEDIAN_ROWS) -> DataFrame:
     """Per configuration the run nearest the median ``metric``, the first of equals: (config, run_id, metric, median)."""
     config = [*by, *CONFIG]
-    heavy = heavy_groups(runs, *config, task_rows=median_rows)
-    medians = exact_medians(runs, config, [metric], heavy=heavy).select(
-        *[F.col(c).alias(f"m_{c}") for c in config], F.col(metric).alias(f"median_{metric}")
-    )
-    same = [F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in config]
+    middle = medians(runs, config, [metric], median_rows).withColumnRenamed(metric, f"median_{metric}")
+    middle = prefixed(middle, config, "m_", f"median_{metric}")
     # Rounded, so that runs equally far on either side tie in spite of float noise.
     distance = F.round(F.abs(F.col(metric) - F.col(f"median_{metric}")), 9)
     nearest = F.min(F.struct(distance.alias("distance"), "run_id", metric)).alias("nearest")
     return (
-        runs.join(medians, same)
+        runs.join(middle, same_group(config, "m_"))
         .groupBy(*config, f"median_{metric}")
         .agg(nearest)
         .select(*config, "nearest.run_id", f"nearest.{metric}", f"median_{metric}")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from halfstar.session import scratch_path
+
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """Overwrite ``path`` with header CSV. ``single_file`` is for small result tables."""
@@ -31,3 +33,15 @@ def write_text(lines: DataFrame, path: str) -> None:
 def append_runs(runs: DataFrame, path: str) -> None:
     """Append runs to a parquet run log."""
     runs.write.mode("append").parquet(path)
+
+
+def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+    """Write ``df`` once to the shared scratch folder and scan it from there.
+
+    Cuts the lineage of a table that several later jobs read: it survives lost
+    executors and is not computed again for each of them.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from halfstar.models import als, bias, item_mean, popularity, user_knn
 from halfstar.operators import evaluate
-from halfstar.operators.split import persisted
 from halfstar.plans.runs import multi_seed_als
 from workload import tables as t
 from workload.cte import sql
@@ -14,11 +13,9 @@ from workload.registry import query, rounded
 
 
 def _fitted_als(spark, folder, **parameters):
-    """(train, test, ALS model): training reads its input many times, so it is kept while it runs."""
+    """(train, test, ALS model)."""
     train, test = t.split(spark, folder)
-    with persisted(train) as (kept,):
-        model = als.als_fit(kept, **parameters)
-    return train, test, model
+    return train, test, als.als_fit(train, **parameters)
 
 
 @query("als_fit")
@@ -63,9 +60,7 @@ def bias_baseline(spark, folder):
 
 def _fitted_biased_mf(spark, folder):
     train, test = t.split(spark, folder)
-    with persisted(train) as (kept,):
-        model = als.biased_mf_fit(kept)
-    return train, test, als.BiasedMF(bias.fit_bias(train), model.residual)
+    return train, test, als.biased_mf_fit(train)
 
 
 @query("biased_mf")
@@ -158,8 +153,8 @@ def user_knn_predict(spark, folder):
 
 @query("multi_seed_fit")
 def multi_seed_fit(spark, folder):
-    with persisted(*t.split(spark, folder)) as (train, test):
-        return multi_seed_als(train, test, n_runs=3)[1]
+    train, test = t.split(spark, folder)
+    return multi_seed_als(train, test, n_runs=3)[1]
 
 
 # --- metrics

@@ -98,8 +98,7 @@ where userId in (select userId from train) and movieId in (select movieId from t
 def inner_factors_drop(spark, folder):
     """Pairs ALS predicts, each with whether its prediction is the dot product of the joined factors."""
     train, test = t.split(spark, folder)
-    with splits.persisted(train) as (kept,):
-        model = als_fit(kept)
+    model = als_fit(train)
     predicted = als_predict(model, test.select("userId", "movieId", "rating"))
     joined = factor_predict(model.userFactors, model.itemFactors, predicted)
     return joined.select(
@@ -319,20 +318,19 @@ def macro_average(spark, folder):
     )
 
 
-_PIVOT_USERS, _PIVOT_ITEMS = list(range(1, 101)), list(range(1, 21))
-
-
 @query(
     "pivot_user_item",
     sql("""
-select u.userId, """ + ", ".join(
-        f"coalesce(max(case when movieId = {i} then rating end), 0) as m{i}" for i in _PIVOT_ITEMS
+select userId, """ + ", ".join(
+        f"coalesce(max(case when place = {p} then rating end), 0) as item_{p}" for p in range(1, 21)
     ) + """
-from (select cast(range as int) as userId from range(1, 101)) u left join ratings r on r.userId = u.userId
-group by u.userId""", "ratings"),
+from ratings left join (
+  select movieId, row_number() over (order by n desc, movieId) as place
+  from (select movieId, count(*) as n from ratings group by movieId)) using (movieId)
+group by userId""", "ratings"),
 )
 def pivot_user_item(spark, folder):
-    return profile.pivot_user_item(t.ratings(spark, folder), _PIVOT_USERS, _PIVOT_ITEMS)
+    return profile.pivot_user_item(t.ratings(spark, folder), 20)
 
 
 # --- windows
@@ -343,7 +341,7 @@ def pivot_user_item(spark, folder):
     sql("select userId, movieId, rating, timestamp, in_test from labelled", "labelled"),
 )
 def temporal_split(spark, folder):
-    return splits.label_split(t.ratings(spark, folder))
+    return splits.label_split(t.fresh_ratings(spark, folder))
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from halfstar.operators.evaluate import relevant_items
 from halfstar.operators.sampling import sample_split
-from halfstar.operators.split import persisted
+from halfstar.operators.split import persisted, temporal_split
 from halfstar.plans import compare
 from halfstar.plans.report import report_sections
 from halfstar.plans.runs import agg_runs_sample_std
@@ -21,7 +21,7 @@ _METRICS = schemas.RUN_METRICS
 
 @query("scan_ratings", sql("select * from ratings", "ratings"))
 def scan_ratings(spark, folder):
-    return t.ratings(spark, folder)
+    return t.fresh_ratings(spark, folder)
 
 
 @query("scan_movies", sql("select * from movies", "movies"))
@@ -44,7 +44,7 @@ def scan_links(spark, folder):
     sql("select userId, movieId, cast(rating as real) as rating, timestamp from ratings", "ratings"),
 )
 def typed_ratings(spark, folder):
-    return readers.typed_ratings(t.ratings(spark, folder))
+    return readers.typed_ratings(t.fresh_ratings(spark, folder))
 
 
 @query(
@@ -54,7 +54,7 @@ select 'train' as split, count(*) as n from train
 union all select 'test', count(*) from test""", "train", "test"),
 )
 def persist_split(spark, folder):
-    with persisted(*t.split(spark, folder)) as halves:
+    with persisted(*temporal_split(t.ratings(spark, folder))) as halves:
         counts = [(name, df.count()) for name, df in zip(("train", "test"), halves)]
     return spark.createDataFrame(counts, "split string, n bigint")
 
