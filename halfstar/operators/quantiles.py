@@ -23,14 +23,16 @@ def exact_order_statistics(
     value: str,
     ranks: Callable[[Column], list[Column]],
     centre: float,
+    min_rows: int = TASK_ROWS,
     accuracy: int = SKETCH_ACCURACY,
 ) -> DataFrame:
     """Values at the 1-based ascending ``ranks(n)`` of each group, as columns v0, v1, ...
 
-    The ranks must lie within ``3/accuracy`` of the quantile ``centre``.
+    The ranks must lie within 2 of ``centre * n``, in groups of ``min_rows`` rows
+    at least: the bracket allows for that and for four times the sketch's error.
     """
     key = F.col(value).cast("double")
-    margin = 4.0 / accuracy
+    margin = 4.0 / accuracy + 2.0 / max(1, min_rows)
     low, high = max(0.0, centre - margin), min(1.0, centre + margin)
     brackets = df.groupBy(*groups).agg(
         F.count(value).alias("n"), F.percentile_approx(key, [low, high], accuracy).alias("bracket")

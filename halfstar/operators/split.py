@@ -55,7 +55,7 @@ def label_split(
     moment = F.col("timestamp") * F.lit(2**31) + F.col("movieId")
     keyed = ratings.join(hot, "userId", "left_semi").withColumn("moment", moment)
     cuts = exact_order_statistics(
-        keyed, ["userId"], "moment", lambda n: [n - _n_test(n, test_size) + 1], centre=1 - test_size
+        keyed, ["userId"], "moment", lambda n: [n - _n_test(n, test_size) + 1], 1 - test_size, min_rows=task_rows
     ).select("userId", F.col("v0").alias("cut"), "n")
     hot_rows = (
         keyed.join(cuts, "userId")
