@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halfstar.functions.scalars import clip_rating
+from halfstar.functions.scalars import clip_rating, ratio
 
 ITEM_DAMPING = 25.0
 USER_DAMPING = 10.0
@@ -33,9 +33,10 @@ class BiasModel:
 
 def fit_bias(train: DataFrame, item_damping: float = ITEM_DAMPING, user_damping: float = USER_DAMPING) -> BiasModel:
     """Both offsets are sums over counts, so hot users and items are reduced before their shuffle."""
-    mean = train.agg(F.avg("rating").alias("mean"))
-    mu = mean.scalar()
     sums = train.groupBy("movieId").agg(F.sum("rating").alias("s"), F.count(F.lit(1)).alias("n"))
+    # From the item sums, so that it does not read train again.
+    mean = sums.agg(ratio(F.sum("s"), F.sum("n")).alias("mean"))
+    mu = mean.scalar()
     items = sums.select(
         "movieId", ((F.col("s") - F.col("n") * mu) / (F.col("n") + F.lit(item_damping))).alias("item_bias")
     )

@@ -38,13 +38,14 @@ def with_num_cores(results: DataFrame) -> DataFrame:
 
 
 def _aggregate(
-    runs: DataFrame, spreads: Callable[[str], list[Column]], by: list[str], metrics: list[str], median_rows: int
+    runs: DataFrame, spreads: dict[str, Callable[[str], Column]], by: list[str], metrics: list[str], median_rows: int
 ) -> DataFrame:
+    """Medians of the metrics, and their ``spreads`` as columns ``<metric>_<name>``."""
     config = [*by, *CONFIG]
     heavy = heavy_table(runs, *config, task_rows=median_rows)
-    others = [column for m in metrics for column in spreads(m)]
+    others = [f(m).alias(f"{m}_{name}") for m in metrics for name, f in spreads.items()]
     n_runs = F.count(F.lit(1)).alias("n_runs")
-    names = [name for m in metrics for name in (m, *runs.agg(*spreads(m)).columns)]
+    names = [column for m in metrics for column in (m, *[f"{m}_{name}" for name in spreads])]
     if heavy is None:
         middles = [F.median(m).alias(m) for m in metrics]
         return runs.groupBy(*config).agg(*middles, *others, n_runs).select(*config, *names, "n_runs")
@@ -57,18 +58,14 @@ def agg_runs_sample_std(
     runs: DataFrame, by: list[str] = (), metrics: list[str] = RUN_METRICS, median_rows: int = MEDIAN_ROWS
 ) -> DataFrame:
     """Per configuration: median and sample std (``_std``, NULL for a single run) of each metric, and n_runs."""
-    return _aggregate(runs, lambda m: [F.stddev_samp(m).alias(f"{m}_std")], list(by), list(metrics), median_rows)
+    return _aggregate(runs, {"std": F.stddev_samp}, list(by), list(metrics), median_rows)
 
 
 def agg_runs_pop_std(
     runs: DataFrame, by: list[str] = (), metrics: list[str] = RUN_METRICS, median_rows: int = MEDIAN_ROWS
 ) -> DataFrame:
     """Per configuration: median, mean and population std (0 for a single run) of each metric, and n_runs."""
-    return _aggregate(
-        runs,
-        lambda m: [F.avg(m).alias(f"{m}_mean"), F.stddev_pop(m).alias(f"{m}_std")],
-        list(by), list(metrics), median_rows,
-    )
+    return _aggregate(runs, {"mean": F.avg, "std": F.stddev_pop}, list(by), list(metrics), median_rows)
 
 
 def median_run(runs: DataFrame, by: list[str] = (), metric: str = "rmse", median_rows: int = MEDIAN_ROWS) -> DataFrame:

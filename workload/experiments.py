@@ -90,7 +90,7 @@ select label, round(overall_score, 6) as overall_score,
        row_number() over (order by overall_score desc, label) = 1 as is_best from scores""", "runs", "scores"),
 )
 def overall_score(spark, folder):
-    return rounded(compare.overall_score(t.results(spark, folder)), "overall_score")
+    return rounded(compare.overall_score(t.saved_results(spark, folder)), "overall_score")
 
 
 @query(
@@ -103,7 +103,7 @@ select model, num_cores, round(num_cores * train_time, 6) as cost, round(1 / rms
 from results""", "runs", "results"),
 )
 def cost_benefit(spark, folder):
-    return rounded(compare.cost_benefit(t.results(spark, folder)), "cost", "benefit", "ratio")
+    return rounded(compare.cost_benefit(t.saved_results(spark, folder)), "cost", "benefit", "ratio")
 
 
 @query(
@@ -117,7 +117,7 @@ select num_cores, round(train_time, 6) as train_time, round(prediction_time, 6)
 from results where model = 'ALS'""", "runs", "results"),
 )
 def timing_breakdown(spark, folder):
-    times = compare.timing_breakdown(t.results(spark, folder))
+    times = compare.timing_breakdown(t.saved_results(spark, folder))
     return rounded(times, *[c for c in times.columns if c != "num_cores"])
 
 

@@ -125,7 +125,7 @@ from results, base""", "runs", "base"),
 )
 def broadcast_baseline(spark, folder):
     facts = ["svd_train_time", "svd_prediction_time", "als_1core_train_time"]
-    joined = compare.broadcast_baseline(t.results(spark, folder))
+    joined = compare.broadcast_baseline(t.saved_results(spark, folder))
     return rounded(joined.select("model", "num_cores", *facts), *facts)
 
 
@@ -341,7 +341,7 @@ def pivot_user_item(spark, folder):
     sql("select userId, movieId, rating, timestamp, in_test from labelled", "labelled"),
 )
 def temporal_split(spark, folder):
-    return splits.label_split(t.fresh_ratings(spark, folder))
+    return splits.label_split(t.ratings(spark, folder))
 
 
 @query(
@@ -383,7 +383,7 @@ def running_hits(spark, folder):
 
 @query("minmax_normalise", sql("select label, metric, round(value, 6) as value from normal", "runs", "normal"))
 def minmax_normalise(spark, folder):
-    normal = compare.minmax_normalise(compare.metric_matrix(t.results(spark, folder)))
+    normal = compare.minmax_normalise(compare.metric_matrix(t.saved_results(spark, folder)))
     return rounded(compare.to_long(normal), "value")
 
 
@@ -395,7 +395,7 @@ select num_cores, round(train_time, 6) as train_time,
 from results where model = 'ALS'""", "runs", "results"),
 )
 def ideal_scaling(spark, folder):
-    ideal = compare.ideal_scaling(t.results(spark, folder)).select("num_cores", "train_time", "ideal_time")
+    ideal = compare.ideal_scaling(t.saved_results(spark, folder)).select("num_cores", "train_time", "ideal_time")
     return rounded(ideal, "train_time", "ideal_time")
 
 
