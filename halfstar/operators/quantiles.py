@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from halfstar.operators.skew import TASK_ROWS, heavy_table, prefixed, same_group
+from halfstar.operators.skew import TASK_ROWS, Heavy, heavy_table, prefixed, same_group
 
 SKETCH_ACCURACY = 100_000
 
@@ -23,6 +23,7 @@ def exact_order_statistics(
     value: str,
     ranks: Callable[[Column], list[Column]],
     centre: float,
+    few_groups: bool,
     min_rows: int = TASK_ROWS,
     accuracy: int = SKETCH_ACCURACY,
 ) -> DataFrame:
@@ -30,6 +31,8 @@ def exact_order_statistics(
 
     The ranks must lie within 2 of ``centre * n``, in groups of ``min_rows`` rows
     at least: the bracket allows for that and for four times the sketch's error.
+    With ``few_groups``, of a known bound, the brackets are broadcast and the
+    values are never shuffled whole.
     """
     key = F.col(value).cast("double")
     margin = 4.0 / accuracy + 2.0 / max(1, min_rows)
@@ -37,11 +40,12 @@ def exact_order_statistics(
     brackets = df.groupBy(*groups).agg(
         F.count(value).alias("n"), F.percentile_approx(key, [low, high], accuracy).alias("bracket")
     )
+    keyed = prefixed(brackets, groups, "b_", "n", "bracket")
     # The lowest bracket has nothing below it, the highest nothing above.
     below = (key < F.col("bracket")[0]) if low > 0 else F.lit(False)
     slots = (
         df.where(F.col(value).isNotNull())
-        .join(prefixed(brackets, groups, "b_", "n", "bracket"), same_group(groups, "b_"))
+        .join(F.broadcast(keyed) if few_groups else keyed, same_group(groups, "b_"))
         .where(key <= F.col("bracket")[1] if high < 1 else F.lit(True))
         .groupBy(*groups, "n", F.when(~below, F.col(value)).alias("slot"))
         .agg(F.count(F.lit(1)).alias("c"))
@@ -59,13 +63,13 @@ def exact_order_statistics(
     return result.select(*groups, "n", *checked)
 
 
-def exact_medians(df: DataFrame, groups: list[str], values: list[str], heavy: DataFrame) -> DataFrame:
+def exact_medians(df: DataFrame, groups: list[str], values: list[str], heavy: Heavy) -> DataFrame:
     """Exact medians of ``values`` per group, in columns of the same names; NULLs are skipped.
 
     The ``heavy`` groups (see :func:`heavy_table`) never sit in one task; the
     others use the built-in median.
     """
-    hot = prefixed(heavy, groups, "h_")
+    hot = heavy.sized(prefixed(heavy.groups, groups, "h_"))
     is_hot = same_group(groups, "h_")
     light = df.join(hot, is_hot, "left_anti").groupBy(*groups).agg(*[F.median(v).alias(v) for v in values])
 
@@ -77,7 +81,7 @@ def exact_medians(df: DataFrame, groups: list[str], values: list[str], heavy: Da
     )
     middle = exact_order_statistics(
         long, [*groups, "metric"], "value",
-        lambda n: [F.floor((n + 1) / 2), F.floor((n + 2) / 2)], centre=0.5,
+        lambda n: [F.floor((n + 1) / 2), F.floor((n + 2) / 2)], centre=0.5, few_groups=heavy.listed,
     )
     median = (F.col("v0") + F.col("v1")) / 2
     wide = middle.groupBy(*groups).agg(

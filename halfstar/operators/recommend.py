@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from halfstar.operators.skew import MAX_LISTED, TASK_ROWS, heavy_table, max_group_rows
+from halfstar.operators.skew import TASK_ROWS, heavy_table, max_group_rows
 
 # Places of the item ranking looked at first; users who have rated nearly all of
 # them go on to a longer list.
@@ -106,10 +106,9 @@ def listed_heavy_users(
     if max_seen <= heavy_seen:
         return max_seen, None
     heavy = heavy_table(train, "userId", task_rows=heavy_seen)
-    if heavy is None:
-        return heavy_seen, None
-    listed = heavy.limit(MAX_LISTED + 1).count() <= MAX_LISTED
-    return (heavy_seen, heavy.join(users, "userId", "left_semi")) if listed else (max_seen, None)
+    if heavy is None or not heavy.listed:
+        return max_seen, None
+    return heavy_seen, F.broadcast(heavy.groups.join(users, "userId", "left_semi").select("userId"))
 
 
 def _from_head(

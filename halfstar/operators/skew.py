@@ -1,11 +1,13 @@
 """Finding hot groups, so that operators which need a whole group in one task can go around them.
 
-The answers only steer plans: every operator gives the same rows whichever
-groups are called heavy, so a stale answer can cost time but never rows.
+What is called heavy only steers plans: operators give the same rows for any
+choice, so an outdated answer can cost time but never rows.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,31 +19,46 @@ MAX_LISTED = 10_000
 _largest: dict[tuple, int] = {}
 
 
+@dataclass(frozen=True)
+class Heavy:
+    """Heavy groups as (keys, n). ``listed`` ones are at most MAX_LISTED and may be broadcast."""
+
+    groups: DataFrame
+    listed: bool
+
+    def sized(self, df: DataFrame) -> DataFrame:
+        """A frame of a row or a few per heavy group, to be broadcast if that bounds it."""
+        return F.broadcast(df) if self.listed else df
+
+    def keys(self, *keys: str) -> DataFrame:
+        return self.sized(self.groups.select(*keys))
+
+
 def group_sizes(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
 def max_group_rows(df: DataFrame, *keys: str) -> int:
-    """Rows of the largest group: one partially aggregated job, remembered per plan."""
-    plan = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), keys)
-    if plan not in _largest:
-        _largest[plan] = group_sizes(df, *keys).agg(F.max("n")).first()[0] or 0
-    return _largest[plan]
+    """Rows of the largest group: one partially aggregated job."""
+    return group_sizes(df, *keys).agg(F.max("n")).first()[0] or 0
 
 
-def heavy_table(df: DataFrame, *keys: str, task_rows: int = TASK_ROWS) -> DataFrame | None:
-    """The groups of more than ``task_rows`` rows as (keys, n), or None if there are none.
+def heavy_table(df: DataFrame, *keys: str, task_rows: int = TASK_ROWS) -> Heavy | None:
+    """The groups of more than ``task_rows`` rows, or None if there are none.
 
-    Up to MAX_LISTED groups come back listed and marked for broadcast; beyond
-    that the table is left distributed for the optimizer to size up.
+    The size of the largest group is remembered per plan; the groups themselves
+    are looked up anew.
     """
-    if max_group_rows(df, *keys) <= task_rows:
+    plan = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), keys)
+    if plan not in _largest:
+        _largest[plan] = max_group_rows(df, *keys)
+    if _largest[plan] <= task_rows:
         return None
     heavy = group_sizes(df, *keys).where(F.col("n") > task_rows)
-    listed = heavy.limit(MAX_LISTED + 1).collect()
-    if len(listed) > MAX_LISTED:
-        return heavy
-    return F.broadcast(df.sparkSession.createDataFrame(listed, heavy.schema))
+    found = heavy.limit(MAX_LISTED + 1).collect()
+    if len(found) > MAX_LISTED:
+        return Heavy(heavy, listed=False)
+    return Heavy(df.sparkSession.createDataFrame(found, heavy.schema), listed=True)
 
 
 def same_group(keys: list[str], prefix: str) -> list[Column]:

@@ -50,15 +50,16 @@ def label_split(
     if heavy is None:
         return by_window(ratings)
 
-    hot = heavy.select("userId")
+    hot = heavy.keys("userId")
     # (timestamp, movieId) as one long: order-preserving, unique within the user.
     moment = F.col("timestamp") * F.lit(2**31) + F.col("movieId")
     keyed = ratings.join(hot, "userId", "left_semi").withColumn("moment", moment)
     cuts = exact_order_statistics(
-        keyed, ["userId"], "moment", lambda n: [n - _n_test(n, test_size) + 1], 1 - test_size, min_rows=task_rows
+        keyed, ["userId"], "moment", lambda n: [n - _n_test(n, test_size) + 1],
+        centre=1 - test_size, few_groups=heavy.listed, min_rows=task_rows,
     ).select("userId", F.col("v0").alias("cut"), "n")
     hot_rows = (
-        keyed.join(cuts, "userId")
+        keyed.join(heavy.sized(cuts), "userId")
         .where(F.col("n") >= min_ratings)
         .withColumn("in_test", F.col("moment") >= F.col("cut"))
     )

@@ -49,7 +49,7 @@ def _aggregate(
     if heavy is None:
         middles = [F.median(m).alias(m) for m in metrics]
         return runs.groupBy(*config).agg(*middles, *others, n_runs).select(*config, *names, "n_runs")
-    rest = runs.groupBy(*config).agg(*others, n_runs)
+    rest = runs.groupBy(*config).agg(*others, n_runs)  # partial sums, safe for any group
     exact = prefixed(exact_medians(runs, config, metrics, heavy), config, "m_", *metrics)
     return rest.join(exact, same_group(config, "m_")).select(*config, *names, "n_runs")
 

@@ -38,7 +38,7 @@ def test_narrow_bracket_stays_exact(spark):
     rng = random.Random(2)
     values = [rng.expovariate(1) for _ in range(20_000)]
     df = spark.createDataFrame([("g", v) for v in values], "g string, v double").repartition(8)
-    got = exact_order_statistics(df, ["g"], "v", lambda n: [F.floor(n * 0.8), F.floor(n * 0.8) + 1], 0.8, accuracy=1000)
+    got = exact_order_statistics(df, ["g"], "v", lambda n: [F.floor(n * 0.8), F.floor(n * 0.8) + 1], 0.8, True, accuracy=1000)
     row = got.first()
     values.sort()
     assert (row.v0, row.v1) == (values[15_999], values[16_000])
@@ -48,7 +48,7 @@ def test_heavy_table(spark):
     df = spark.createDataFrame([(1,)] * 10 + [(2,)] * 3 + [(None,)] * 4, "k int")
     assert max_group_rows(df, "k") == 10
     assert heavy_table(df, "k", task_rows=10) is None
-    assert sorted((r.k or 0, r.n) for r in heavy_table(df, "k", task_rows=3).collect()) == [(0, 4), (1, 10)]
+    assert sorted((r.k or 0, r.n) for r in heavy_table(df, "k", task_rows=3).groups.collect()) == [(0, 4), (1, 10)]
 
 
 def test_heavy_table_beyond_the_list(spark, monkeypatch):
@@ -56,6 +56,7 @@ def test_heavy_table_beyond_the_list(spark, monkeypatch):
 
     monkeypatch.setattr(skew, "MAX_LISTED", 2)
     df = spark.range(100).selectExpr("id % 5 as k")
-    assert heavy_table(df, "k", task_rows=3).count() == 5
+    heavy = heavy_table(df, "k", task_rows=3)
+    assert heavy.groups.count() == 5 and not heavy.listed
     got = medians(df.selectExpr("k", "k * 1.5D as v"), ["k"], ["v"], task_rows=3)
     assert {r.k: r.v for r in got.collect()} == {k: k * 1.5 for k in range(5)}

@@ -31,7 +31,6 @@ def test_too_many_heavy_users_to_list(spark, monkeypatch):
     from halfstar.operators import skew
 
     monkeypatch.setattr(skew, "MAX_LISTED", 3)
-    monkeypatch.setattr(recommend, "MAX_LISTED", 3)
     rows, df = random_ratings(spark, 25, 300, 700, hot_user=3)
     scores = {m: float(m % 5) for m in {r[1] for r in rows}}
     score_df = spark.createDataFrame(list(scores.items()), "movieId int, score double")

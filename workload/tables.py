@@ -28,6 +28,7 @@ __all__ = [
 ]
 
 _staged: dict[tuple[str, str, str], DataFrame] = {}
+_max_seen: dict[tuple[str, str], int] = {}
 
 
 def _stage(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame], *partition_by: str) -> DataFrame:
@@ -56,8 +57,11 @@ def test_users(test: DataFrame) -> DataFrame:
 
 
 def max_seen(spark: SparkSession, folder: str) -> int:
-    """No user has rated more in train than in all: one statistic serves the split and the recommenders."""
-    return max_group_rows(ratings(spark, folder), "userId")
+    """The most ratings of any user: a statistic of the stored ratings, so taken once."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _max_seen:
+        _max_seen[key] = max_group_rows(ratings(spark, folder), "userId")
+    return _max_seen[key]
 
 
 def popular_recs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
