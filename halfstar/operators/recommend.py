@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from halfstar.operators.skew import TASK_ROWS, heavy_table, max_group_rows
+from halfstar.operators.skew import TASK_ROWS, group_sizes, heavy_table, max_group_rows
 
 # Places of the item ranking looked at first; users who have rated nearly all of
 # them go on to a longer list.
@@ -108,7 +108,8 @@ def listed_heavy_users(
     heavy = heavy_table(train, "userId", task_rows=heavy_seen)
     if heavy is None or not heavy.listed:
         return max_seen, None
-    return heavy_seen, F.broadcast(heavy.groups.join(users, "userId", "left_semi").select("userId"))
+    others = group_sizes(train, "userId").where(F.col("n") <= heavy_seen).agg(F.max("n")).first()[0] or 0
+    return others, F.broadcast(heavy.groups.join(users, "userId", "left_semi").select("userId"))
 
 
 def _from_head(
