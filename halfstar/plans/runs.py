@@ -19,6 +19,8 @@ from halfstar.sources.schemas import RUN_METRICS, RUNS
 CONFIG = ["model", "cores"]
 # Values per group that the built-in median may hold in one task.
 MEDIAN_ROWS = 200_000
+# Length of the rankings whose metrics a run records (see RANKING_METRICS).
+K = 10
 
 
 def run_log(spark: SparkSession, records: list[dict]) -> DataFrame:
@@ -91,8 +93,7 @@ def _timed(action: Callable):
 
 
 def _one_run(
-    fit: Callable, predict: Callable, recommend: Callable, train: DataFrame, test: DataFrame,
-    users: DataFrame | None, k: int,
+    fit: Callable, predict: Callable, recommend: Callable, test: DataFrame, users: DataFrame | None
 ) -> tuple[object, dict]:
     model, train_time = _timed(fit)
     # The evaluation is what makes the lazy predictions run, so it is what is timed.
@@ -102,26 +103,26 @@ def _one_run(
         "rmse": errors["rmse"], "mae": errors["mae"],
     }
     if users is not None:
-        ranking = ranking_report(recommend(model), test, k).first().asDict()
+        ranking = ranking_report(recommend(model), test, K).first().asDict()
         record |= {name: value for name, value in ranking.items() if name != "n_users"}
     return model, record
 
 
 def multi_seed_als(
     train: DataFrame, test: DataFrame, n_runs: int = 3, rank: int = 20, reg: float = 0.1, max_iter: int = 10,
-    seed: int = 42, users: DataFrame | None = None, k: int = 10,
+    seed: int = 42, users: DataFrame | None = None,
 ) -> tuple[list, DataFrame]:
     """Fit ALS with seeds seed, seed + 1, ... Returns the models and their run log.
 
-    With ``users``, the ranking metrics of their unseen top-k are measured too.
+    With ``users``, the ranking metrics of their unseen top 10 are measured too.
     """
     models, records = [], []
     for run in range(n_runs):
         model, record = _one_run(
             lambda: als_fit(train, rank, reg, max_iter, seed + run),
             lambda m: als_predict(m, test),
-            lambda m: als_recommend_unseen(m, train, users, k),
-            train, test, users, k,
+            lambda m: als_recommend_unseen(m, train, users, K),
+            test, users,
         )
         models.append(model)
         master = train.sparkSession.sparkContext.master
@@ -133,7 +134,7 @@ def multi_seed_als(
 
 def multi_seed_biased_mf(
     train: DataFrame, test: DataFrame, n_runs: int = 3, n_factors: int = 50, n_epochs: int = 20,
-    seed: int = 42, users: DataFrame | None = None, k: int = 10,
+    seed: int = 42, users: DataFrame | None = None,
 ) -> tuple[list, DataFrame]:
     """The same for biased matrix factorization, logged as model ``SVD`` with seeds seed + 1, seed + 2, ..."""
     models, records = [], []
@@ -141,8 +142,8 @@ def multi_seed_biased_mf(
         model, record = _one_run(
             lambda: biased_mf_fit(train, n_factors, n_epochs, seed=seed + run + 1),
             lambda m: m.predict(test),
-            lambda m: m.recommend_unseen(train, users, k),
-            train, test, users, k,
+            lambda m: m.recommend_unseen(train, users, K),
+            test, users,
         )
         models.append(model)
         records.append(record | {"run_id": run, "model": "SVD", "n_factors": n_factors, "n_epochs": n_epochs})
