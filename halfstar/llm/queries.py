@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from halfstar.llm import exact_dedup, mixing
+from halfstar.llm import exact_dedup, mixing, pieces
 from halfstar.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -53,3 +55,18 @@ select doc_id, size, source_size, round(target, 6) as target, coalesce(taken, 0)
 @query("op4_mix_sources", MIX_SQL)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_report(mixing.mix_sources(table(spark, folder, "documents")))
+
+
+PIECE_MODEL = "piece_bpe_32k.model"
+
+
+@query("op8_pieces")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    model = public_tokenizers.path(PIECE_MODEL)
+    encoded = pieces.encode_texts(table(spark, folder, "documents").select("doc_id", "text"), model)
+    return pieces.decode_texts(encoded, model).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
