@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halfstar.llm import exact_dedup, mixing, pieces, quality_rules
+from halfstar.llm import exact_dedup, mixing, pieces, pii, quality_rules
 from halfstar.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -75,3 +75,24 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_quality_rules")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, folder, "documents"))
+
+
+def joined(spans: str) -> Column:
+    """kind:start:end of an array of spans, in its order."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+
+
+@query("op3_personal_data")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, folder, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    place = {kind: F.lit(i) for i, kind in enumerate(pii.KINDS)}
+    ranked = F.transform(
+        F.concat("base", "added"),
+        lambda s: F.struct(F.element_at(F.create_map(*[x for k, i in place.items() for x in (F.lit(k), i)]), s.kind), s.start, s.end, s.kind),
+    )
+    every = F.transform(F.array_sort(ranked), lambda s: F.concat_ws(":", s.kind, s.start, s.end))
+    return found.select(
+        "doc_id", *map(count, pii.KINDS), F.sha2(joined("base"), 256).alias("base_sha256"),
+        F.array_join(every, ",").alias("spans"), F.size("added").cast("long").alias("n_added"),
+    )
