@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halfstar.llm import exact_dedup, mixing, pieces, pii, quality_rules
+from halfstar.llm import exact_dedup, mixing, pieces, pii, quality_rules, secrets
 from halfstar.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -77,7 +77,7 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, folder, "documents"))
 
 
-def joined(spans: str) -> Column:
+def joined(spans: Column | str) -> Column:
     """kind:start:end of an array of spans, in its order."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
 
@@ -96,3 +96,47 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", *map(count, pii.KINDS), F.sha2(joined("base"), 256).alias("base_sha256"),
         F.array_join(every, ",").alias("spans"), F.size("added").cast("long").alias("n_added"),
     )
+
+
+SECRETS_SQL = r"""
+with t as (select doc_id, row_number() over () as row, coalesce(text, '') as text from documents),
+p(kind, rank, pattern) as (values
+  ('assign', 1, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+  ('access', 2, 'AKIA[A-Z0-9]+'), ('hex', 3, '[0-9a-f]+'), ('entropy', 4, '[A-Za-z0-9+/_=-]{20,}')),
+f as (select row, kind, rank, unnest(found) as found, unnest(range(1, len(found) + 1)) as i, gaps, found as every
+      from (select row, kind, rank, regexp_extract_all(text, pattern, 0) as found,
+                   list_transform(string_split_regex(text, pattern), lambda g: length(g)) as gaps from t, p)),
+s as (select row, kind, rank, found, coalesce(list_sum(gaps[1:i]), 0) + coalesce(list_sum(list_transform(every[1:i - 1], lambda m: length(m))), 0) as a from f
+      where length(found) >= case kind when 'assign' then 12 when 'access' then 18 when 'hex' then 16 else 20 end),
+b as (select row, kind, rank, a::bigint as a, (a + length(found))::bigint as z from s
+      where kind in ('access', 'hex') or kind = 'assign' and length(regexp_extract(found, '^((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2)) >= 12),
+c as (select row, a::bigint as a, found, case when regexp_matches(found, '^[0-9a-fA-F]+$') then 2.8 else 3.5 end as least from s
+      where kind = 'entropy' and regexp_matches(found, '[0-9]') and regexp_matches(found, '[A-Za-z]')
+        and not regexp_matches(found, '^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$')
+        and not regexp_matches(found, '(?i)example|sample|dummy|placeholder|changeme|x{8}|0123456789|123456789|abcdefghij')),
+w as (select row, a, least, found, unnest(range(0, length(found) - 15)) as i from c),
+h as (select row, a + min(i) as a, a + max(i) + 16 as z from w
+      where list_aggregate(string_split(found, '')[i + 1:i + 16], 'entropy') >= least group by row, a, found),
+n as (select row, 'entropy' as kind, 4 as rank, h.a, h.z from h where not exists (select 1 from b where b.row = h.row and b.a < h.z and h.a < b.z)),
+g as (select row, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+             string_agg(kind || ':' || a || ':' || z, ',' order by a, rank) as spans from b group by row),
+e as (select row, string_agg(kind || ':' || a || ':' || z, ',' order by a, rank) as spans, count(*) filter (kind = 'entropy') as n_entropy
+      from (select * from b union all select * from n) group by row)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+       sha256(coalesce(g.spans, '')) as base_sha256, coalesce(e.spans, '') as spans, coalesce(n_entropy, 0) as n_entropy
+from t left join g using (row) left join e using (row)
+"""
+
+
+@query("op1_secrets", SECRETS_SQL)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, folder, "documents"))
+    ranks = F.create_map(*[F.lit(x) for i, k in enumerate((*secrets.KINDS, "entropy")) for x in (k, i)])
+    by_start = lambda spans: F.array_sort(
+        F.transform(spans, lambda s: F.struct(s.start.alias("start"), F.element_at(ranks, s.kind), s.end.alias("end"), s.kind.alias("kind")))
+    )
+    count = lambda kind: F.size(F.filter("base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *map(count, secrets.KINDS), F.sha2(joined(by_start(F.col("base"))), 256).alias("base_sha256"),
+        joined(by_start(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_entropy"),
+    )
