@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halfstar.llm import exact_dedup, mixing, pieces, pii, quality_rules, secrets
+from halfstar.llm import exact_dedup, mixing, pieces, pii, quality_rules, secrets, url_filter
 from halfstar.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -140,3 +140,51 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", *map(count, secrets.KINDS), F.sha2(joined(by_start(F.col("base"))), 256).alias("base_sha256"),
         joined(by_start(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_entropy"),
     )
+
+
+URL_RULES = [
+    ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"),
+]
+
+
+def _strength_sql(rows: str) -> str:
+    """SQL for (mean, strength) of the beta prior over the counts (bad, n) in ``rows``."""
+    return f"""
+(select mean, case when n is null then 2 else least(greatest(case when rho > 0 then 1 / rho - 1 else 1000 end, 2), 1000) end as strength
+ from (select *, case when scale > 0 then (bb - bad * bad / n - (k - 1) * mean * (1 - mean)) / (mean * (1 - mean) * scale) else 0 end as rho
+       from (select *, coalesce(least(greatest(bad / n, 1e-4), 1 - 1e-4), 0.5) as mean, n - nn / n as scale
+             from (select sum(bad)::double as bad, sum(n)::double as n, sum(n::double * n) as nn, sum(bad::double * bad / n) as bb, count(*) as k
+                   from {rows} where n > 0))))"""
+
+
+URL_SQL = rf"""
+with u as (select page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), '{url_filter.UPPER}', '{url_filter.LOWER}') as host,
+                  coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') as path,
+                  try_cast(nullif(regexp_extract(url, '/([0-9]{{1,18}})/?([?#].*)?$', 1), '') as bigint) as doc_id from pages),
+o as (select u.*, 1 - quality as bad from u left join labels using (doc_id)),
+h as (select host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') as domain, string_split(host, '.')[-1] as suffix,
+             count(bad) as n, coalesce(sum(bad), 0)::bigint as bad from o group by all),
+d as (select domain, suffix, sum(n) as n, sum(bad) as bad from h group by all),
+s as (select suffix, sum(n) as n, sum(bad) as bad from d group by all),
+s1 as (select suffix, (bad + mean * strength) / (n + strength) as rate from s, {_strength_sql("s")}),
+d1 as (select domain, (bad + rate * strength) / (n + strength) as rate from d join s1 using (suffix), {_strength_sql("d")}),
+h1 as (select host, bad + rate * strength as p, n - bad + (1 - rate) * strength as q from h join d1 using (domain), {_strength_sql("h")}),
+h2 as (select host, p / (p + q) as rate, greatest(p / (p + q) - 2 * sqrt(p * q / ((p + q) * (p + q) * (p + q + 1))), 0) as bound from h1),
+r(verdict, rule, name, start) as (select verdict, rule, split_part(rule, '/', 1), substr(rule, instr(rule, '/')) from (values {", ".join(map(str, URL_RULES))}) v(verdict, rule)),
+f as (select page_id, arg_max(rule, length(rule)) as rule, arg_max(verdict, length(rule)) as verdict
+      from u join r on (host = name or ends_with(host, '.' || name)) and starts_with(path, start) group by page_id)
+select page_id, u.host, u.path, f.rule, coalesce(f.verdict, case when bound > 0.5 then 'block' else 'allow' end) as verdict,
+       round(rate, 6) as host_rate, round(bound, 6) as host_bound
+from u left join f using (page_id) join h2 on u.host = h2.host
+"""
+
+
+@query("op5_url_filter", URL_SQL)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """A page's outcome is the quality label of the document whose number ends its address."""
+    pages = table(spark, folder, "pages")
+    number = F.regexp_extract("url", r"/([0-9]{1,18})/?(?:[?#].*)?$", 1)
+    shown = pages.select("page_id", F.when(number != "", number.cast("long")).alias("doc_id"))
+    labels = table(spark, folder, "labels").select("doc_id", (1 - F.col("quality")).alias("bad"))
+    outcomes = shown.join(labels, "doc_id").select(F.col("page_id").alias("_row"), "bad")
+    return url_filter.filter_urls(pages, outcomes, URL_RULES)
