@@ -142,7 +142,7 @@ def mix_sources(
     # Places of the documents in their source: offsets of hash buckets, then places within a bucket.
     row = sources.agg(F.sum("_rows"), F.sum("source_size")).first()
     rows, words = row[0] or 0, row[1] or 0
-    digits = max(1, len(f"{rows // CHUNK:x}"))
+    digits = max(2, len(f"{rows // CHUNK:x}"))
     placed = placed.withColumn("_bucket", F.substring("_hash", 1, digits))
     ahead = Window.partitionBy("_place").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("_place", "_bucket").agg(F.sum("size").alias("_words"))
