@@ -34,12 +34,13 @@ def null_key(column: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("null"))
 
 
-def hot_keys(counts: DataFrame, key: str, rows: str) -> list:
+def hot_keys(counts: DataFrame, key: str, rows: str, total: int | None = None) -> list:
     """The keys with more than a HOT_SHARE-th of all rows: at most HOT_SHARE values, taken by a job over ``counts``.
 
-    ``counts`` holds one row per key with its number of ``rows``.
+    ``counts`` holds one row per key with its number of ``rows``; a second job adds
+    these up unless their ``total`` is given.
     """
-    total = counts.agg(F.sum(rows)).first()[0] or 0
+    total = counts.agg(F.sum(rows)).first()[0] or 0 if total is None else total
     found = counts.where(F.col(rows) * HOT_SHARE > F.lit(total)).where(F.col(key).isNotNull()).select(key).collect()
     return [r[0] for r in found]
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halfstar.llm import exact_dedup, mixing, pieces, pii, quality_rules, secrets, url_filter
+from halfstar.llm import exact_dedup, jaccard, mixing, pieces, pii, quality_rules, secrets, url_filter
 from halfstar.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -188,3 +188,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels").select("doc_id", (1 - F.col("quality")).alias("bad"))
     outcomes = shown.join(labels, "doc_id").select(F.col("page_id").alias("_row"), "bad")
     return url_filter.filter_urls(pages, outcomes, URL_RULES)
+
+
+@query("op10_jaccard_join")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.similar_classes(table(spark, folder, "documents"))
