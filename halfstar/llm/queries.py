@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halfstar.llm import exact_dedup, jaccard, kneser_ney, mixing, pieces, pii, quality_rules, secrets, url_filter
+from halfstar.llm import exact_dedup, jaccard, kneser_ney, language_id, mixing, pieces, pii, quality_rules, secrets, url_filter
 from halfstar.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -198,3 +198,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_quality_classifier")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return kneser_ney.quality(table(spark, folder, "documents"), table(spark, folder, "labels")).drop("_key")
+
+
+@query("op6_language_id")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify(table(spark, folder, "pages"), table(spark, folder, "documents"))
