@@ -18,7 +18,7 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from halfstar.llm.common import hot_keys, salted_join, text_of
@@ -237,3 +237,17 @@ def similar_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
         F.col("_id").alias(id_col), F.col("_rep").alias("copy_id"), F.coalesce("root", "_rep").alias("class_id"),
         "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """Of each class of similar documents the one with the least id, all columns kept.
+
+    Rows that repeat both id and text count once. Rows without an id stay. Texts
+    are shuffled once, to meet the ids that go.
+    """
+    gone = similar_classes(docs, id_col=id_col, text_col=text_col, **settings).where(F.col("class_id") != F.col(id_col))
+    gone = gone.select(F.col(id_col).alias("_gone")).distinct()
+    held = docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_own"), F.xxhash64(text_of(text_col)).alias("_text_key"))
+    left = held.join(gone, F.col("_own") == F.col("_gone"), "left_anti")
+    place = F.row_number().over(Window.partitionBy("_own", "_text_key").orderBy("_own"))
+    return left.withColumn("_place", place).where("_place = 1 or _own is null").select("_doc.*")
