@@ -16,6 +16,7 @@ from halfstar.llm.piece_tables import SPACE, Vocabulary, WordEncoder, read_vocab
 
 WORDS = re.compile(f"{SPACE}+[^{SPACE}]*")
 KNOWN_WORDS = 200_000  # words whose ids a worker keeps before it starts anew
+SLICE_ROWS = 500  # rows of a batch turned into Python objects at once
 SLICE_WORDS = 100_000  # words encoded in one step, whatever documents they are from
 
 
@@ -56,12 +57,14 @@ class _Texts:
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.place) > KNOWN_WORDS:
             self._forget()
-        fresh = [w for w in dict.fromkeys(words) if w not in self.place]
+        places = list(map(self.place.get, words))
+        fresh = dict.fromkeys([w for w, p in zip(words, places) if p is None])
         if fresh:
-            self._learn(fresh)
+            self._learn(list(fresh))
             self.ids, self.counts = [np.concatenate(self.ids)], [np.concatenate(self.counts)]
             self.starts = np.cumsum(self.counts[0]) - self.counts[0]
-        where = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+            places = list(map(self.place.__getitem__, words))
+        where = np.array(places, np.int64)
         counts = self.counts[0][where]
         shift = self.starts[where] - (np.cumsum(counts) - counts)
         return self.ids[0][np.repeat(shift, counts) + np.arange(counts.sum())], counts
@@ -114,15 +117,16 @@ def _replace_each(error: UnicodeDecodeError) -> tuple[str, int]:
 
 def decode_ids(vocabulary: Vocabulary, texts: list[bytes], ids: list[int]) -> str:
     """The text of ids: without the leading space, control ids have no text, stray bytes become U+FFFD one by one."""
-    runs: list[list[int]] = [[]]
-    for i in ids:  # bytes on both sides of a control id make no character together
-        if texts[i]:
-            runs[-1].append(i)
-        else:
-            runs.append([])
-    text = "".join([b"".join([texts[i] for i in run]).decode("utf-8", "each") for run in runs])
-    first = next((run[0] for run in runs if run), None)
-    return text[1:] if first is not None and vocabulary.pieces[first].startswith(SPACE) else text
+    parts = list(map(texts.__getitem__, ids))
+    if b"" not in parts:
+        text = b"".join(parts).decode("utf-8", "each")
+    else:  # bytes on both sides of a control id make no character together
+        runs: list[list[bytes]] = [[]]
+        for part in parts:
+            runs[-1].append(part) if part else runs.append([])
+        text = "".join([b"".join(run).decode("utf-8", "each") for run in runs])
+        ids = [i for i, part in zip(ids, parts) if part]
+    return text[1:] if ids and vocabulary.pieces[ids[0]].startswith(SPACE) else text
 
 
 def _id_texts(vocabulary: Vocabulary) -> list[bytes]:
@@ -134,6 +138,13 @@ def _id_texts(vocabulary: Vocabulary) -> list[bytes]:
     return texts
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most SLICE_ROWS."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def encode_texts(df: DataFrame, model: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``df`` with its text column replaced by ``ids_col`` (array of int), the ids of the whole text.
 
@@ -148,7 +159,7 @@ def encode_texts(df: DataFrame, model: str, text_col: str = "text", ids_col: str
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = _Texts(vocabulary)
-        for batch in batches:
+        for batch in _slices(batches):
             ids = texts.batch(batch.column(text_col).to_pylist())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], ids], [*others, ids_col])
 
@@ -162,8 +173,8 @@ def decode_texts(df: DataFrame, model: str, ids_col: str = "ids", text_col: str
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = _id_texts(vocabulary)
-        for batch in batches:
-            found = [decode_ids(vocabulary, texts, ids or []) for ids in batch.column(ids_col).to_pylist()]
+        for batch in _slices(batches):
+            found = [decode_ids(vocabulary, texts, ids.values.to_numpy().tolist() if ids.is_valid else []) for ids in batch.column(ids_col)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, text_col])
 
     return df.mapInArrow(decode, schema)
