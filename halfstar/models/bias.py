@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halfstar.functions.scalars import clip_rating, ratio
+from halfstar.sources.writers import materialise
 
 ITEM_DAMPING = 25.0
 USER_DAMPING = 10.0
@@ -49,6 +50,12 @@ def fit_bias(train: DataFrame, item_damping: float = ITEM_DAMPING, user_damping:
     return BiasModel(mean, items, users)
 
 
+def stored_bias(model: BiasModel) -> BiasModel:
+    """The same model with its tables written to the scratch folder, so that no later job computes them again."""
+    mean = model.items.sparkSession.createDataFrame([model.mean.first()], model.mean.schema)
+    return BiasModel(mean, materialise(model.items, "item-bias"), materialise(model.users, "user-bias"))
+
+
 def bias_table(model: BiasModel) -> DataFrame:
     """The model as rows of (side, id, bias)."""
     return model.users.select(F.lit("user").alias("side"), F.col("userId").alias("id"), F.col("user_bias").alias("bias")).unionAll(

@@ -136,11 +136,12 @@ def top_items(ratings: DataFrame, n: int = 10) -> DataFrame:
     return item_popularity(ratings).orderBy(F.desc("n"), "movieId").limit(n)
 
 
-def pivot_user_item(ratings: DataFrame, n_items: int = 20) -> DataFrame:
-    """Zero-filled wide matrix of all users by the most popular items.
+def pivot_user_item(ratings: DataFrame, n_items: int) -> DataFrame:
+    """Zero-filled wide matrix of all users by the ``n_items`` most popular items.
 
-    One column per popularity rank (item_1, item_2, ...), so the width is fixed
-    and only users without any of the items have no rating to aggregate.
+    One column per popularity rank (item_1, item_2, ...). A user's ratings of all
+    other items are in ``other_n`` (their number) and ``other_sum``, so that none is
+    left out.
     """
     top = top_items(ratings, n_items)
     place = F.row_number().over(Window.orderBy(F.desc("n"), "movieId"))
@@ -149,4 +150,8 @@ def pivot_user_item(ratings: DataFrame, n_items: int = 20) -> DataFrame:
         F.coalesce(F.max(F.when(F.col("place") == p, F.col("rating"))), F.lit(0.0)).alias(f"item_{p}")
         for p in range(1, n_items + 1)
     ]
+    other = F.col("place").isNull()
+    cells += [
+        F.count_if(other).alias("other_n"), F.coalesce(F.sum(F.when(other, F.col("rating"))), F.lit(0.0)).alias("other_sum"),
+    ]
     return ratings.join(placed, "movieId", "left").groupBy("userId").agg(*cells)

@@ -10,7 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from halfstar.operators.skew import TASK_ROWS, group_sizes, heavy_table, max_group_rows
+from halfstar.operators import skew
+from halfstar.operators.skew import TASK_ROWS, group_sizes, max_group_rows
 
 # Places of the item ranking looked at first; users who have rated nearly all of
 # them go on to a longer list.
@@ -98,18 +99,20 @@ def listed_heavy_users(
 ) -> tuple[int, DataFrame | None]:
     """(most items seen by any other user, those of ``users`` who have seen more than ``heavy_seen``).
 
-    No heavy users are singled out if there are too many to list; the bound
-    then covers everyone.
+    Of more than MAX_LISTED heavy users the heaviest are listed, and the bound is
+    that of the next. Runs up to three counts.
     """
     if max_seen is None:
         max_seen = max_group_rows(train, "userId")
     if max_seen <= heavy_seen:
         return max_seen, None
-    heavy = heavy_table(train, "userId", task_rows=heavy_seen)
-    if heavy is None or not heavy.listed:
+    sizes = group_sizes(train, "userId")
+    listed = sizes.where(F.col("n") > heavy_seen).orderBy(F.desc("n"), "userId").limit(skew.MAX_LISTED).collect()
+    if not listed:
         return max_seen, None
-    others = group_sizes(train, "userId").where(F.col("n") <= heavy_seen).agg(F.max("n")).first()[0] or 0
-    return others, F.broadcast(heavy.groups.join(users, "userId", "left_semi").select("userId"))
+    heavy = train.sparkSession.createDataFrame([(r["userId"],) for r in listed], train.select("userId").schema)
+    others = sizes.join(F.broadcast(heavy), "userId", "left_anti").agg(F.max("n")).first()[0] or 0
+    return others, F.broadcast(heavy.join(users, "userId", "left_semi").select("userId"))
 
 
 def _from_head(

@@ -16,9 +16,6 @@ TASK_ROWS = 1_000_000
 # Heavy groups are listed and broadcast up to this many; more stay a distributed table.
 MAX_LISTED = 10_000
 
-_largest: dict[tuple, int] = {}
-
-
 @dataclass(frozen=True)
 class Heavy:
     """Heavy groups as (keys, n). ``listed`` ones are at most MAX_LISTED and may be broadcast."""
@@ -44,18 +41,11 @@ def max_group_rows(df: DataFrame, *keys: str) -> int:
 
 
 def heavy_table(df: DataFrame, *keys: str, task_rows: int = TASK_ROWS) -> Heavy | None:
-    """The groups of more than ``task_rows`` rows, or None if there are none.
-
-    The size of the largest group is remembered per plan; the groups themselves
-    are looked up anew.
-    """
-    plan = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), keys)
-    if plan not in _largest:
-        _largest[plan] = max_group_rows(df, *keys)
-    if _largest[plan] <= task_rows:
-        return None
+    """The groups of more than ``task_rows`` rows, or None if there are none. Counts the groups when called."""
     heavy = group_sizes(df, *keys).where(F.col("n") > task_rows)
     found = heavy.limit(MAX_LISTED + 1).collect()
+    if not found:
+        return None
     if len(found) > MAX_LISTED:
         return Heavy(heavy, listed=False)
     return Heavy(df.sparkSession.createDataFrame(found, heavy.schema), listed=True)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from halfstar.functions.scalars import format_metric_line, fixed
 from halfstar.operators.profile import matrix_density, rating_summary, table_counts
 from halfstar.plans.compare import is_als, is_svd, performance_summary, scalability_verdict
+from halfstar.sources.schemas import RUN_PARAMETERS
 
 
 def _packed(one_row: DataFrame) -> Column:
@@ -32,8 +33,10 @@ def report_document(
         F.sort_array(F.collect_list(F.when(is_svd(), row))).alias("svd_baseline"),
         F.sort_array(F.collect_list(F.when(is_als(), row))).alias("spark_scalability"),
     )
+    held = [c for c in [*RUN_PARAMETERS, "n_runs"] if c in results.columns]
+    parameters = results.agg(F.sort_array(F.collect_list(F.struct("model", "num_cores", *held))).alias("parameters"))
     configuration = F.struct(
-        F.lit(test_size).alias("test_size"), F.lit(min_ratings).alias("minimum_ratings_per_user"),
+        parameters.scalar().alias("models"), F.lit(test_size).alias("test_size"), F.lit(min_ratings).alias("minimum_ratings_per_user"),
         F.lit("chronological per user").alias("split_method"), F.lit("median").alias("statistical_method"),
     )
     document = F.struct(
@@ -70,29 +73,34 @@ def report_sections(results: DataFrame) -> DataFrame:
     return results.select("model", "num_cores", F.concat_ws("\n", *lines).alias("section"))
 
 
-def report_text(results: DataFrame, n_runs: int = 3) -> DataFrame:
-    """The text report, one row (value) per block, in reading order."""
-    head = "\n".join([
-        "# Recommendation experiments: statistical summary", "=" * 80,
-        f"Experiment repetitions: {n_runs} runs per configuration", "Statistical method: Median ± Standard Deviation",
-        "", "## Performance Metrics (Median ± Std Dev)", "-" * 50, "",
-    ])
-    best = F.min_by("model", F.struct("rmse", "model")).alias("model")
-    finding = results.agg(best, F.min("rmse").alias("rmse")).select(
-        F.concat(F.lit("## Key Findings\nBest RMSE: "), F.col("model"), F.lit(" with "), fixed(F.col("rmse"))).alias("finding")
-    )
-    notes = "\n".join([
-        "## Statistical Notes", f"- All results represent median values across {n_runs} independent runs",
-        "- Standard deviations indicate measurement variability",
-    ])
+def report_text(results: DataFrame) -> DataFrame:
+    """The text report, one row (value) per block, in reading order.
+
+    A title that says how many runs stand behind a number, a section per
+    configuration, and what came out best. Every figure is taken from ``results``.
+    """
+    counted = results if "n_runs" in results.columns else results.withColumn("n_runs", F.lit(None).cast("long"))
+    low, high = F.min("n_runs").cast("string"), F.max("n_runs").cast("string")
+    runs = F.when(low == high, low).otherwise(F.concat(low, F.lit(" to "), high))
+    many = F.concat(F.lit("# "), F.count(F.lit(1)).cast("string"), F.lit(" configurations"))
+    behind = F.coalesce(F.concat(F.lit(", "), runs, F.lit(" runs each: medians, with the spread of the runs")), F.lit(""))
+    title = counted.agg(F.concat(many, behind).alias("value"))
+    named = F.concat(F.col("model"), F.lit(" on "), F.col("num_cores").cast("string"), F.lit(" cores"))
+    rows = results.withColumn("named", named)
+    least = F.struct(F.min("rmse").alias("value"), F.min_by("named", F.struct("rmse", "named")).alias("named"))
+    most = F.struct(F.max("speedup_train").alias("value"), F.max_by("named", F.struct("speedup_train", "named")).alias("named"))
+    has_speedup = "speedup_train" in results.columns
+    best = rows.agg(least.alias("error"), (most if has_speedup else F.lit(None)).alias("fastest"))
+    lines = [F.concat(F.lit("Least RMSE: "), fixed(F.col("error.value")), F.lit(", "), F.col("error.named"))]
+    if has_speedup:
+        lines.append(F.concat(F.lit("Greatest training speed-up: "), fixed(F.col("fastest.value")), F.lit("x, "), F.col("fastest.named")))
+    findings = best.select(F.concat_ws("\n", F.lit("## Best of all"), *lines).alias("value"))
     sections = report_sections(results)
     of = lambda place, df, text: df.select(F.lit(place).alias("place"), *text)
     none = [F.lit("").alias("model"), F.lit(0).alias("num_cores")]
-    spark = results.sparkSession
     blocks = (
-        of(0, spark.range(1), [*none, F.lit(head).alias("value")])
+        of(0, title, [*none, "value"])
         .unionAll(of(1, sections, ["model", "num_cores", F.concat("section", F.lit("\n"))]))
-        .unionAll(of(2, finding, [*none, "finding"]))
-        .unionAll(of(3, spark.range(1), [*none, F.lit(notes)]))
+        .unionAll(of(2, findings, [*none, "value"]))
     )
     return blocks.coalesce(1).sortWithinPartitions("place", F.desc("model"), "num_cores").select("value")

@@ -10,13 +10,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halfstar.functions.scalars import parse_num_cores
-from halfstar.models.als import als_fit, als_predict, als_recommend_unseen, biased_mf_fit
+from halfstar.models.als import als_blocks, als_fit, als_predict, als_recommend_unseen, biased_mf_fit
 from halfstar.operators.evaluate import error_metrics, ranking_report
 from halfstar.operators.quantiles import exact_medians, medians
 from halfstar.operators.skew import heavy_table, prefixed, same_group
-from halfstar.sources.schemas import RUN_METRICS, RUNS
+from halfstar.sources.schemas import RUN_METRICS, RUN_PARAMETERS, RUNS
 
 CONFIG = ["model", "cores"]
+
+
+def config_columns(runs: DataFrame, by: list[str]) -> list[str]:
+    """What tells configurations apart: ``by``, model and cores, and the experiment and parameters that the log holds."""
+    held = [c for c in ["experiment", *RUN_PARAMETERS] if c in runs.columns and c not in by]
+    return [*by, *CONFIG, *held]
 # Values per group that the built-in median may hold in one task.
 MEDIAN_ROWS = 200_000
 # Length of the rankings whose metrics a run records (see RANKING_METRICS).
@@ -35,15 +41,16 @@ def union_results(*frames: DataFrame) -> DataFrame:
 
 
 def with_num_cores(results: DataFrame) -> DataFrame:
-    cores = F.when(F.col("model") == "SVD", F.lit(1)).otherwise(parse_num_cores(F.col("cores")))
-    return results.withColumn("num_cores", cores)
+    """Adds ``num_cores`` from the logged master; a log without one is of a single-process SVD on one core."""
+    alone = (F.col("model") == "SVD") & F.col("cores").isNull()
+    return results.withColumn("num_cores", F.when(alone, F.lit(1)).otherwise(parse_num_cores(F.col("cores"))))
 
 
 def _aggregate(
     runs: DataFrame, spreads: dict[str, Callable[[str], Column]], by: list[str], metrics: list[str], median_rows: int
 ) -> DataFrame:
     """Medians of the metrics, and their ``spreads`` as columns ``<metric>_<name>``."""
-    config = [*by, *CONFIG]
+    config = config_columns(runs, by)
     heavy = heavy_table(runs, *config, task_rows=median_rows)
     others = [f(m).alias(f"{m}_{name}") for m in metrics for name, f in spreads.items()]
     n_runs = F.count(F.lit(1)).alias("n_runs")
@@ -72,18 +79,20 @@ def agg_runs_pop_std(
 
 def median_run(runs: DataFrame, by: list[str] = (), metric: str = "rmse", median_rows: int = MEDIAN_ROWS) -> DataFrame:
     """Per configuration the run nearest the median ``metric``, the first of equals: (config, run_id, metric, median)."""
-    config = [*by, *CONFIG]
+    config = config_columns(runs, by)
     middle = medians(runs, config, [metric], median_rows).withColumnRenamed(metric, f"median_{metric}")
     middle = prefixed(middle, config, "m_", f"median_{metric}")
     # Rounded, so that runs equally far on either side tie in spite of float noise.
     distance = F.round(F.abs(F.col(metric) - F.col(f"median_{metric}")), 9)
-    nearest = F.min(F.struct(distance.alias("distance"), "run_id", metric)).alias("nearest")
-    return (
-        runs.join(middle, same_group(config, "m_"))
-        .groupBy(*config, f"median_{metric}")
-        .agg(nearest)
-        .select(*config, "nearest.run_id", f"nearest.{metric}", f"median_{metric}")
-    )
+    near = runs.join(middle, same_group(config, "m_")).withColumn("m_distance", distance)
+    # Two aggregates of plain numbers, which hash, instead of one of structs, which sorts.
+    least = near.groupBy(*config, f"median_{metric}").agg(F.min("m_distance").alias("l_distance"))
+    least = prefixed(least, config, "l_", f"median_{metric}", "l_distance").withColumnRenamed(f"median_{metric}", "l_median")
+    first = near.join(least, [*same_group(config, "l_"), F.col("m_distance").eqNullSafe(F.col("l_distance"))])
+    first = first.groupBy(*config, f"median_{metric}").agg(F.min("run_id").alias("run_id"))
+    first = prefixed(first, config, "f_", F.col("run_id").alias("f_run_id"))
+    met = near.join(first, [*same_group(config, "f_"), F.col("run_id") == F.col("f_run_id")])
+    return met.select(*config, "run_id", metric, f"median_{metric}")
 
 
 def _timed(action: Callable):
@@ -103,23 +112,25 @@ def _one_run(
         "rmse": errors["rmse"], "mae": errors["mae"],
     }
     if users is not None:
-        ranking = ranking_report(recommend(model), test, K).first().asDict()
-        record |= {name: value for name, value in ranking.items() if name != "n_users"}
+        record |= ranking_report(recommend(model), test, K).first().asDict()
     return model, record
 
 
 def multi_seed_als(
     train: DataFrame, test: DataFrame, n_runs: int = 3, rank: int = 20, reg: float = 0.1, max_iter: int = 10,
-    seed: int = 42, users: DataFrame | None = None,
+    seed: int = 42, users: DataFrame | None = None, experiment: str | None = None, sample: int | None = None,
 ) -> tuple[list, DataFrame]:
     """Fit ALS with seeds seed, seed + 1, ... Returns the models and their run log.
 
     With ``users``, the ranking metrics of their unseen top 10 are measured too.
+    ``experiment`` and ``sample`` label the runs in the log; runs with other labels
+    or parameters are never aggregated with them.
     """
-    models, records = [], []
+    models, records, labels = [], [], {"experiment": experiment, "sample": sample}
+    blocks = als_blocks(train)
     for run in range(n_runs):
         model, record = _one_run(
-            lambda: als_fit(train, rank, reg, max_iter, seed + run),
+            lambda: als_fit(train, rank, reg, max_iter, seed + run, blocks),
             lambda m: als_predict(m, test),
             lambda m: als_recommend_unseen(m, train, users, K),
             test, users,
@@ -127,26 +138,34 @@ def multi_seed_als(
         models.append(model)
         master = train.sparkSession.sparkContext.master
         records.append(
-            record | {"run_id": run, "model": "ALS", "cores": master, "rank": rank, "regParam": reg, "maxIter": max_iter}
+            record | labels | {
+                "run_id": run, "model": "ALS", "cores": master, "seed": seed + run, "rank": rank, "regParam": reg,
+                "maxIter": max_iter, "blocks": blocks,
+            }
         )
     return models, run_log(train.sparkSession, records)
 
 
 def multi_seed_biased_mf(
     train: DataFrame, test: DataFrame, n_runs: int = 3, n_factors: int = 50, n_epochs: int = 20,
-    seed: int = 42, users: DataFrame | None = None,
+    seed: int = 42, users: DataFrame | None = None, experiment: str | None = None, sample: int | None = None,
 ) -> tuple[list, DataFrame]:
     """The same for biased matrix factorization, logged as model ``SVD`` with seeds seed + 1, seed + 2, ..."""
-    models, records = [], []
+    models, records, labels = [], [], {"experiment": experiment, "sample": sample}
+    blocks = als_blocks(train)
+    master = train.sparkSession.sparkContext.master
     for run in range(n_runs):
         model, record = _one_run(
-            lambda: biased_mf_fit(train, n_factors, n_epochs, seed=seed + run + 1),
+            lambda: biased_mf_fit(train, n_factors, n_epochs, seed=seed + run + 1, blocks=blocks),
             lambda m: m.predict(test),
             lambda m: m.recommend_unseen(train, users, K),
             test, users,
         )
         models.append(model)
-        records.append(record | {"run_id": run, "model": "SVD", "n_factors": n_factors, "n_epochs": n_epochs})
+        records.append(record | labels | {
+            "run_id": run, "model": "SVD", "cores": master, "seed": seed + run + 1, "n_factors": n_factors,
+            "n_epochs": n_epochs, "blocks": blocks,
+        })
     return models, run_log(train.sparkSession, records)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -27,15 +28,16 @@ _local_base: str | None = None
 def scratch_base(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    Falls back to a temporary folder for a local master only; a cluster session
-    without the setting is an error, as a machine-local folder would be lost
-    with its executor.
+    Falls back to a temporary folder if driver and executors are one process; any
+    other session without the setting is an error, as a machine-local folder would
+    be lost with its executor. Tables of a session are below one folder with its
+    application id, so what is left of it can be removed as a whole.
     """
     global _local_base
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     if _local_base is None:
         _local_base = tempfile.mkdtemp(prefix="halfstar-")
@@ -45,7 +47,7 @@ def scratch_base(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path for ``name`` below the scratch folder."""
-    return f"{scratch_base(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_base(spark)}/halfstar-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

@@ -24,8 +24,11 @@ RUN_METRICS = TIME_METRICS + ERROR_METRICS + RANKING_METRICS
 RUNS = T.StructType(
     [
         T.StructField("run_id", T.LongType()),
+        T.StructField("experiment", T.StringType()),
         T.StructField("model", T.StringType()),
         T.StructField("cores", T.StringType()),
+        T.StructField("seed", T.LongType()),
+        T.StructField("n_users", T.LongType()),
     ]
     + [T.StructField(m, T.DoubleType()) for m in RUN_METRICS]
     + [
@@ -34,5 +37,10 @@ RUNS = T.StructType(
         T.StructField("rank", T.IntegerType()),
         T.StructField("regParam", T.DoubleType()),
         T.StructField("maxIter", T.IntegerType()),
+        T.StructField("blocks", T.IntegerType()),
+        T.StructField("sample", T.LongType()),
     ]
 )
+
+# Runs that differ in any of these are never put together.
+RUN_PARAMETERS = ["n_factors", "n_epochs", "rank", "regParam", "maxIter", "blocks", "sample"]

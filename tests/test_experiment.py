@@ -21,5 +21,16 @@ def test_experiment(spark, tmp_path):
     assert read_results(spark, f"{out}/results").count() == 2
     document = json.loads(spark.read.text(f"{out}/document").first().value)
     assert document["dataset_statistics"]["rows"] == {"ratings": ratings.count(), "movies": 40, "tags": 0, "links": 40}
-    assert "### SVD (Cores: 1)" in [r.value for r in spark.read.text(f"{out}/report").collect()]
+    report = [r.value for r in spark.read.text(f"{out}/report").collect()]
+    assert "### SVD (Cores: 8)" in report and report[0].startswith("# 2 configurations, 2 runs each")
+    assert any(line.startswith("Greatest training speed-up: ") for line in report)
+    models = document["experiment_configuration"]["models"]
+    assert [m["model"] for m in models] == ["ALS", "SVD"] and models[0]["rank"] == 2 and models[1]["n_factors"] == 2
     assert spark.read.parquet(f"{out}/run_log").count() == 4
+    log = spark.read.parquet(f"{out}/run_log")
+    assert log.where("n_users is null or seed is null or blocks is null").isEmpty()
+
+    # A second experiment in the same log leaves the first one's rows alone.
+    again = run_experiment(Dataset(ratings, movies, tags, links), out, n_runs=1, als={"rank": 3, "max_iter": 1}, svd={"n_factors": 2, "n_epochs": 1})
+    assert {(r.model, r.n_runs) for r in again.collect()} == {("SVD", 1), ("ALS", 1)}
+    assert spark.read.parquet(f"{out}/run_log").count() == 6

@@ -44,12 +44,14 @@ def test_biased_mf_learns(low_rank):
     assert predicted.count() == test.count()
 
 
-@pytest.mark.parametrize("heavy_seen", [10**6, 30])
-def test_als_recommends_unseen(spark, low_rank, heavy_seen):
+@pytest.mark.parametrize("block", [4096, 7])
+def test_als_recommends_unseen(spark, low_rank, block, monkeypatch):
+    monkeypatch.setattr(als, "SCORED_USERS", block)
+    monkeypatch.setattr(als, "SCORED_ITEMS", block)
     train, test = low_rank
     model = als.als_fit(train, rank=3, max_iter=3)
     users = test.select("userId").distinct()
-    got = als.als_recommend_unseen(model, train, users, k=5, heavy_seen=heavy_seen)
+    got = als.als_recommend_unseen(model, train, users, k=5)
     check_unseen(got, train, users, model.userFactors, model.itemFactors, 5)
 
 
@@ -167,3 +169,31 @@ def test_multi_seed(spark, low_rank):
     assert runs.pick_median_model(models, log) is models[middle.run_id]
     _, svd = runs.multi_seed_biased_mf(train, test, n_runs=1, n_factors=2, n_epochs=1, users=users)
     assert svd.first().model == "SVD" and svd.first().n_factors == 2
+
+
+def test_blocks_follow_the_rows_alone(spark, low_rank, monkeypatch):
+    train, _ = low_rank
+    monkeypatch.setattr(als, "BLOCK_ROWS", 100)
+    n = train.count()
+    assert als.als_blocks(train) == als.als_blocks(train.repartition(2)) == als.als_blocks(train.repartition(16)) == -(-n // 100)
+    factors = [
+        {r.id: tuple(r.features) for r in als.als_fit(part, rank=2, max_iter=1).userFactors.collect()}
+        for part in (train, train.repartition(3))
+    ]
+    assert factors[0].keys() == factors[1].keys()
+    assert all(abs(a - b) < 1e-3 for u in factors[0] for a, b in zip(factors[0][u], factors[1][u]))
+
+
+def test_everything_seen(spark):
+    train = ratings(spark, [(u, m, float(1 + (u * m) % 5), 0) for u in range(6) for m in range(8) if u == 0 or m % 2])
+    model = als.als_fit(train, rank=2, max_iter=2)
+    got = als.als_recommend_unseen(model, train, train.select("userId").distinct(), k=3)
+    assert {r.userId for r in got.collect()} == {1, 2, 3, 4, 5}
+
+
+def test_neighbours_without_null_ratings(spark):
+    rows = [(u, m, float(1 + (u + m) % 5), 0) for u in range(5) for m in range(6)]
+    clean = ratings(spark, rows)
+    holes = clean.unionAll(clean.limit(1).selectExpr("userId", "77 as movieId", "cast(null as double) as rating", "timestamp"))
+    pairs = lambda df: sorted((r.userId, r.neighbourId, round(r.similarity, 9)) for r in user_knn.user_knn_similarity(df).collect())
+    assert pairs(holes) == pairs(clean)

@@ -139,8 +139,9 @@ def test_text_report(published):
     lines = "\n".join(r.value for r in report.report_text(published).collect()).splitlines()
     assert lines[0].startswith("# ") and "### SVD (Cores: 1)" in lines and "### ALS (Cores: 8)" in lines
     assert "Training Time: 8.0853 ± 0.0000 seconds" in lines and "Speed-up: 0.0142x" in lines
-    assert "Best RMSE: SVD with 0.9806" in lines
-    assert lines.index("### SVD (Cores: 1)") < lines.index("## Key Findings")
+    assert "Least RMSE: 0.9806, SVD on 1 cores" in lines
+    assert any(line.startswith("Greatest training speed-up: ") for line in lines)
+    assert lines.index("### SVD (Cores: 1)") < lines.index("## Best of all")
 
 
 def test_document(spark, sf):
@@ -156,3 +157,23 @@ def test_union_fills_nulls(spark):
     a = spark.createDataFrame([("SVD", 50)], "model string, n_factors int")
     b = spark.createDataFrame([("ALS", 20)], "model string, rank int")
     assert rows_of(runs.union_results(a, b).fillna(-1), "model", "n_factors", "rank") == [("ALS", -1, 20), ("SVD", 50, -1)]
+
+
+def test_unlike_runs_stay_apart(spark):
+    from halfstar.plans.runs import agg_runs_pop_std, run_log
+
+    def record(run, rmse, **labels):
+        return {"run_id": run, "model": "ALS", "cores": "local[2]", "rmse": rmse, "rank": 10, **labels}
+
+    log = run_log(spark, [
+        record(0, 1.0), record(1, 3.0, rank=50), record(2, 5.0, sample=100), record(3, 7.0, experiment="b"), record(4, 9.0),
+    ])
+    got = sorted((r.rmse, r.n_runs) for r in agg_runs_pop_std(log).collect())
+    assert got == [(3.0, 1), (5.0, 1), (5.0, 2), (7.0, 1)]
+
+
+def test_cores_of_logged_svd(spark):
+    from halfstar.plans.runs import run_log, with_num_cores
+
+    log = run_log(spark, [{"model": "SVD", "cores": "local[4]"}, {"model": "SVD"}, {"model": "ALS", "cores": "local[2]"}])
+    assert [r.num_cores for r in with_num_cores(log).collect()] == [4, 1, 2]

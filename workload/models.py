@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from halfstar.functions.scalars import clip_rating
 from halfstar.models import als, bias, item_mean, popularity, user_knn
 from halfstar.operators import evaluate
-from halfstar.operators.sampling import sample_users_about
-from halfstar.plans.runs import multi_seed_als
+from halfstar.operators.sampling import sample_users_fraction
+from halfstar.plans.runs import multi_seed_als, multi_seed_biased_mf
+from halfstar.sources.schemas import RANKING_METRICS
 from workload import tables as t
 from workload.cte import sql
 from workload.registry import query, rounded
@@ -19,32 +24,89 @@ def _fitted_als(spark, folder, **parameters):
     return train, test, als.als_fit(train, **parameters)
 
 
-@query("als_fit")
+# Fitted factors differ between engines, so the queries of the models return what can
+# be derived without them, beside flags that are computed from the model's own output.
+
+
+@query("als_fit", sql("select userId, count(*) as n, true as solved from train group by userId", "train"))
 def als_fit(spark, folder):
-    return als.factor_table(_fitted_als(spark, folder)[2])
+    """Whether the last half-step's normal equations hold for every user's factors."""
+    train, _, model = _fitted_als(spark, folder)
+    return als.normal_equations(model, train, reg=0.1).select("userId", "n", (F.col("residual") < 1e-3).alias("solved"))
+
+
+_KNOWN = """
+select userId, movieId, rating, true as is_dot_product from test
+where userId in (select userId from train) and movieId in (select movieId from train)"""
+
+
+def _flag_dot_products(model, predicted):
+    joined = als.factor_predict(model.userFactors, model.itemFactors, predicted)
+    is_dot = F.abs(F.col("dot") - F.col("prediction")) < 1e-4
+    return joined.select("userId", "movieId", "rating", is_dot.alias("is_dot_product"))
 
 
-@query("als_predict")
+@query("als_predict", sql(_KNOWN, "train", "test"))
 def als_predict(spark, folder):
     _, test, model = _fitted_als(spark, folder)
-    return als.als_predict(model, test.select("userId", "movieId", "rating"))
+    return _flag_dot_products(model, als.als_predict(model, test.select("userId", "movieId", "rating")))
 
 
-@query("als_recommend_subset")
+def _list_facts(recs, user_factors, item_factors, train):
+    """Per user: length of the list, and whether its places are dense, its scores sorted and dot products, its items new."""
+    scored = als.factor_predict(user_factors, item_factors, recs)
+    seen = train.select("userId", "movieId").withColumn("seen", F.lit(True))
+    before = F.lag("score").over(Window.partitionBy("userId").orderBy("pos"))
+    rows = scored.join(seen, ["userId", "movieId"], "left").withColumn("before", before)
+    return rows.groupBy("userId").agg(
+        F.count(F.lit(1)).alias("n"),
+        ((F.max("pos") == F.count(F.lit(1))) & (F.count_distinct("movieId") == F.count(F.lit(1)))).alias("dense"),
+        F.every(F.coalesce(F.col("before") >= F.col("score") - 1e-6, F.lit(True))).alias("sorted"),
+        F.every(F.abs(F.col("dot") - F.col("score")) < 1e-3).alias("is_dot_product"),
+        (F.count("seen") == 0).alias("all_unseen"),
+    )
+
+
+_LISTS = """
+select u.userId, least(10, i.n{less}) as n, true as dense, true as sorted, true as is_dot_product{unseen}
+from ({users}) u cross join (select count(distinct movieId) as n from train) i{seen}"""
+_SEEN = " join (select userId, count(*) as n from train group by userId) s on s.userId = u.userId"
+_NEW_LISTS = _LISTS.format(less=" - s.n", unseen=", true as all_unseen", users="select userId from test_users", seen=_SEEN)
+
+
+@query("als_recommend_subset", sql(_LISTS.format(less="", unseen="", seen="", users="""
+select userId from test_users where substr(md5(concat_ws('-', '42', userId)), 1, 8) < '40000000'"""), "train", "test_users"))
 def als_recommend_subset(spark, folder):
-    _, test, model = _fitted_als(spark, folder)
-    return als.als_recommend_subset(model, sample_users_about(test, 500), 10)
+    train, test, model = _fitted_als(spark, folder)
+    recs = als.als_recommend_subset(model, sample_users_fraction(test, 0.25), 10)
+    return _list_facts(recs, model.userFactors, model.itemFactors, train).drop("all_unseen")
 
 
-@query("als_recommend_all")
+@query("als_recommend_all", sql(_LISTS.format(less="", unseen="", seen="", users="select distinct userId from train"), "train"))
 def als_recommend_all(spark, folder):
-    return als.als_recommend_all(_fitted_als(spark, folder)[2], 10)
+    train, _, model = _fitted_als(spark, folder)
+    return _list_facts(als.als_recommend_all(model, 10), model.userFactors, model.itemFactors, train).drop("all_unseen")
 
 
-@query("als_recommend_unseen")
+@query("als_recommend_unseen", sql(_NEW_LISTS, "train", "test_users"))
 def als_recommend_unseen(spark, folder):
     train, test, model = _fitted_als(spark, folder)
-    return als.als_recommend_unseen(model, train, t.test_users(test), 10, t.max_seen(spark, folder))
+    recs = als.als_recommend_unseen(model, train, t.test_users(test), 10)
+    return _list_facts(recs, model.userFactors, model.itemFactors, train)
+
+
+@query(
+    "als_ranking_report",
+    sql("""
+select count(distinct userId) as n_users, true as within_range
+from test where rating >= 4.0""", "test"),
+)
+def als_ranking_report(spark, folder):
+    """Ranking metrics of the fitted model: over whom they are averaged, and whether they can be what they are."""
+    train, test, model = _fitted_als(spark, folder)
+    report = evaluate.ranking_report(als.als_recommend_unseen(model, train, t.test_users(test), 10), test)
+    metrics = [F.col(c).between(0, 1) for c in report.columns if c != "n_users"]
+    return report.select("n_users", reduce(lambda a, b: a & b, metrics).alias("within_range"))
 
 
 @query(
@@ -62,22 +124,28 @@ def _fitted_biased_mf(spark, folder):
     return train, test, als.biased_mf_fit(train)
 
 
-@query("biased_mf")
+@query("biased_mf", sql("select userId, movieId, rating, true as is_sum from test", "test"))
 def biased_mf(spark, folder):
+    """Every test pair, and whether its prediction is the clipped sum of biases and dot product."""
     _, test, model = _fitted_biased_mf(spark, folder)
-    return model.predict(test.select("userId", "movieId", "rating"))
+    predicted = model.predict(test.select("userId", "movieId", "rating"))
+    known = als.factor_predict(model.residual.userFactors, model.residual.itemFactors, predicted).select("userId", "movieId", "dot")
+    base = model.bias.with_biases(predicted).join(known, ["userId", "movieId"], "left")
+    total = clip_rating(F.col("base") + F.coalesce("dot", F.lit(0.0)))
+    return base.select("userId", "movieId", "rating", (F.abs(total - F.col("prediction")) < 1e-6).alias("is_sum"))
 
 
-@query("biased_mf_recommend")
+@query("biased_mf_recommend", sql(_NEW_LISTS, "train", "test_users"))
 def biased_mf_recommend(spark, folder):
     train, test, model = _fitted_biased_mf(spark, folder)
-    return model.recommend_unseen(train, t.test_users(test), 10, t.max_seen(spark, folder))
+    recs = model.recommend_unseen(train, t.test_users(test), 10)
+    return _list_facts(recs, *model.wide_factors(), train)
 
 
-@query("mf_rank10")
+@query("mf_rank10", sql(_KNOWN, "train", "test"))
 def mf_rank10(spark, folder):
     _, test, model = _fitted_als(spark, folder, rank=10, max_iter=20)
-    return evaluate.error_metrics(als.als_predict(model, test))
+    return _flag_dot_products(model, als.als_predict(model, test.select("userId", "movieId", "rating")))
 
 
 @query(
@@ -150,10 +218,30 @@ def user_knn_predict(spark, folder):
     return rounded(user_knn.user_knn_predict(train, pairs, neighbours), "prediction")
 
 
-@query("multi_seed_fit")
+def _run_facts(log):
+    """Per run: how many users its ranking metrics are averaged over, and whether its numbers can be what they are."""
+    sane = F.col("rmse").between(F.col("mae"), 5.0) & (F.col("train_time") > 0) & F.col("cores").isNotNull()
+    for metric in RANKING_METRICS:
+        sane = sane & F.col(metric).between(0, 1)
+    return log.select("run_id", "model", "seed", "n_users", sane.alias("sane"))
+
+
+_RUNS = """
+select run_id, '{model}' as model, {seed} + run_id as seed, (select count(distinct userId) from test where rating >= 4.0) as n_users, true as sane
+from range({n}) r(run_id)"""
+
+
+@query("multi_seed_fit", sql(_RUNS.format(model="ALS", seed=42, n=3), "test"))
 def multi_seed_fit(spark, folder):
     train, test = t.split(spark, folder)
-    return multi_seed_als(train, test, n_runs=3)[1]
+    return _run_facts(multi_seed_als(train, test, n_runs=3, users=t.test_users(test))[1])
+
+
+@query("multi_seed_biased_mf", sql(_RUNS.format(model="SVD", seed=43, n=2), "test"))
+def multi_seed_biased(spark, folder):
+    train, test = t.split(spark, folder)
+    fitted = multi_seed_biased_mf(train, test, n_runs=2, n_factors=10, n_epochs=5, users=t.test_users(test))
+    return _run_facts(fitted[1])
 
 
 # --- metrics

@@ -55,23 +55,22 @@ def cross_user_catalog(spark, folder):
     return recommend.catalogue_counts(train, t.test_users(test))
 
 
-_HEAD = """
-select u.userId, p.movieId, round(p.popularity_score, 6) as score
-from test_users u cross join (
-  select * from pop order by round(popularity_score, 9) desc, movieId limit 20) p
-where not exists (select 1 from train t where t.userId = u.userId and t.movieId = p.movieId)"""
+_UNSEEN = """
+select c.userId, c.movieId, round(p.popularity_score, 6) as score
+from (select distinct userId, movieId from tags) c join pop p using (movieId)
+where not exists (select 1 from train t where t.userId = c.userId and t.movieId = c.movieId)"""
 
 
-def _unseen_head(spark, folder):
-    """The 20 most popular items for every test user, less those rated in train."""
-    train, test = t.split(spark, folder)
-    candidates = recommend.head_candidates(popularity_scores(train), t.test_users(test), 20)
-    return recommend.drop_seen(candidates, train)
+def _unseen_tagged(spark, folder):
+    """Every (user, item) that was tagged, with the item's popularity, less the pairs rated in train."""
+    train, _ = t.split(spark, folder)
+    tagged = t.tags(spark, folder).select("userId", "movieId").distinct()
+    return recommend.drop_seen(tagged.join(popularity_scores(train), "movieId").select("userId", "movieId", "score"), train)
 
 
-@query("anti_unseen", sql(_HEAD, "test_users", "pop", "train"))
+@query("anti_unseen", sql(_UNSEEN, "tags", "pop", "train"))
 def anti_unseen(spark, folder):
-    return rounded(_unseen_head(spark, folder), "score")
+    return rounded(_unseen_tagged(spark, folder), "score")
 
 
 @query(
@@ -98,7 +97,7 @@ where userId in (select userId from train) and movieId in (select movieId from t
 def inner_factors_drop(spark, folder):
     """Pairs ALS predicts, each with whether its prediction is the dot product of the joined factors."""
     train, test = t.split(spark, folder)
-    model = als_fit(train)
+    model = als_fit(train, rank=10, max_iter=3)
     predicted = als_predict(model, test.select("userId", "movieId", "rating"))
     joined = factor_predict(model.userFactors, model.itemFactors, predicted)
     return joined.select(
@@ -323,7 +322,8 @@ def macro_average(spark, folder):
     sql("""
 select userId, """ + ", ".join(
         f"coalesce(max(case when place = {p} then rating end), 0) as item_{p}" for p in range(1, 21)
-    ) + """
+    ) + """,
+       count(*) filter (place > 20) as other_n, coalesce(sum(rating) filter (place > 20), 0) as other_sum
 from ratings left join (
   select movieId, row_number() over (order by n desc, movieId) as place
   from (select movieId, count(*) as n from ratings group by movieId)) using (movieId)
@@ -349,10 +349,10 @@ def temporal_split(spark, folder):
     sql(f"""
 select userId, movieId, score,
        cast(row_number() over (partition by userId order by round(raw, 9) desc, movieId) as int) as pos
-from (select h.*, p.popularity_score as raw from ({_HEAD}) h join pop p using (movieId))""", "test_users", "pop", "train"),
+from (select h.*, p.popularity_score as raw from ({_UNSEEN}) h join pop p using (movieId))""", "tags", "pop", "train"),
 )
 def rank_candidates(spark, folder):
-    return rounded(recommend.rank_candidates(_unseen_head(spark, folder)), "score")
+    return rounded(recommend.rank_candidates(_unseen_tagged(spark, folder)), "score")
 
 
 @query(
