@@ -137,7 +137,7 @@ def identify(
     total = lambda i: F.sum(F.element_at("counts", i + 1))
     up = lambda df, *keys: df.groupBy(*keys).agg(F.array(*map(total, range(k))).alias("counts"), F.sum("rows").alias("rows"))
     domains, suffixes = up(hosts, "_domain", "_suffix"), up(hosts, "_suffix")
-    overall = up(hosts).first()["counts"] or [0.0] * k
+    overall = [n or 0.0 for n in up(hosts).first()["counts"]]
     shares = F.array(*[F.lit((n + 1) / (sum(overall) + k)) for n in overall])
     suffixes = suffixes.withColumn("_s", _shrink(F.col("counts"), shares, strength))
     domains = salted_join(domains, suffixes.select("_suffix", "_s"), "_suffix", hot_keys(suffixes, "_suffix", "rows"), F.col("_domain"))
@@ -164,7 +164,8 @@ def identify(
     met = met.withColumn("_fused", fused).withColumn("_most", F.array_max("_fused"))
     weight = F.aggregate("_fused", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_most")))
     names = F.array(*map(F.lit, languages))
-    name = lambda place: F.element_at(names, place.cast("int"))
+    # element_at() of a constant array takes a null place for its first or last one, so nulls are kept away from it.
+    name = lambda place: F.when(place.isNotNull(), F.element_at(names, F.coalesce(place, F.lit(1)).cast("int")))
     return met.select(
         F.col("_id").alias(id_col), "host", "declared", name(F.col("best") + 1).alias("text_lang"),
         name(F.array_position("_fused", F.col("_most"))).alias("lang"), F.round(1 / weight, 6).alias("confidence"),
