@@ -20,8 +20,7 @@ from workload.registry import query, rounded
 
 def _fitted_als(spark, folder, **parameters):
     """(train, test, ALS model)."""
-    train, test = t.split(spark, folder)
-    return train, test, als.als_fit(train, **parameters)
+    return *t.split(spark, folder), t.fitted(spark, folder, f"als {parameters}", lambda train: als.als_fit(train, **parameters))
 
 
 # Fitted factors differ between engines, so the queries of the models return what can
@@ -120,8 +119,7 @@ def bias_baseline(spark, folder):
 
 
 def _fitted_biased_mf(spark, folder):
-    train, test = t.split(spark, folder)
-    return train, test, als.biased_mf_fit(train)
+    return *t.split(spark, folder), t.fitted(spark, folder, "biased mf", als.biased_mf_fit)
 
 
 @query("biased_mf", sql("select userId, movieId, rating, true as is_sum from test", "test"))

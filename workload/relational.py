@@ -97,7 +97,7 @@ where userId in (select userId from train) and movieId in (select movieId from t
 def inner_factors_drop(spark, folder):
     """Pairs ALS predicts, each with whether its prediction is the dot product of the joined factors."""
     train, test = t.split(spark, folder)
-    model = als_fit(train, rank=10, max_iter=3)
+    model = t.fitted(spark, folder, "als {}", als_fit)
     predicted = als_predict(model, test.select("userId", "movieId", "rating"))
     joined = factor_predict(model.userFactors, model.itemFactors, predicted)
     return joined.select(

@@ -23,12 +23,13 @@ from halfstar.sources.writers import materialise
 
 __all__ = [
     "fresh_ratings", "links", "movies", "runs", "tags",
-    "fast_results", "labelled", "max_seen", "popular_recs", "ratings", "results",
+    "fast_results", "fitted", "labelled", "max_seen", "popular_recs", "ratings", "results",
     "saved_results", "split", "test_users",
 ]
 
 _staged: dict[tuple[str, str, str], DataFrame] = {}
 _max_seen: dict[tuple[str, str], int] = {}
+_models: dict[tuple[str, str, str], object] = {}
 
 
 def _stage(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame], *partition_by: str) -> DataFrame:
@@ -38,6 +39,14 @@ def _stage(spark: SparkSession, folder: str, name: str, build: Callable[[], Data
     return _staged[key]
 
 
+def fitted(spark: SparkSession, folder: str, name: str, fit: Callable[[DataFrame], object]):
+    """A model of the train half, fitted once per session; ``name`` stands for the model and its parameters."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _models:
+        _models[key] = fit(split(spark, folder)[0])
+    return _models[key]
+
+
 def ratings(spark: SparkSession, folder: str) -> DataFrame:
     return _stage(spark, folder, "ratings", lambda: fresh_ratings(spark, folder))
 
