@@ -30,8 +30,8 @@ def scratch_base(spark: SparkSession) -> str:
 
     Falls back to a temporary folder if driver and executors are one process; any
     other session without the setting is an error, as a machine-local folder would
-    be lost with its executor. Tables of a session are below one folder with its
-    application id, so what is left of it can be removed as a whole.
+    be lost with its executor. Nothing below the folder is needed once the session
+    is over.
     """
     global _local_base
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -47,7 +47,7 @@ def scratch_base(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path for ``name`` below the scratch folder."""
-    return f"{scratch_base(spark)}/halfstar-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

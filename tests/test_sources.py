@@ -121,3 +121,11 @@ def test_empty_input(spark):
     assert profile.rating_distribution(none).isEmpty()
     assert profile.avg_ratings_per_entity(none).first().avg_per_user is None
     assert profile.activity_extremes(none).where("n is not null").isEmpty()
+
+
+def test_executors_apart_need_a_shared_folder():
+    apart = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master="local-cluster[2,1,1024]")
+    )
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.scratch_path(apart, "x")
