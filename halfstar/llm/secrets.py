@@ -76,6 +76,11 @@ def _weight(count: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (count + 1).cast("int"))
 
 
+def _held(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def window_reach(text: Column, least: Column) -> Column:
     """(first, last): from where the first to where the last window with ``least`` bits a character reaches, else nulls.
 
@@ -83,9 +88,18 @@ def window_reach(text: Column, least: Column) -> Column:
     each step changes at most two counts.
     """
     chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
-    codes = F.transform(chars, lambda c: F.array_position(F.array_distinct(chars), c).cast("int"))
+
+    def coded(c: Column) -> Column:
+        return _held(F.array_distinct(c), lambda letters: _held(
+            F.transform(c, lambda x: F.array_position(letters, x).cast("int")), lambda codes: _reach(codes, letters, least)
+        ))
+
+    return _held(chars, coded)
+
+
+def _reach(codes: Column, letters: Column, least: Column) -> Column:
     state = F.struct(
-        F.transform(F.array_distinct(chars), lambda c: F.lit(0)).alias("counts"), F.lit(0.0).alias("sum"),
+        F.transform(letters, lambda c: F.lit(0)).alias("counts"), F.lit(0.0).alias("sum"),
         F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"),
     )
     steps = F.transform(codes, lambda c, i: F.struct(
