@@ -3,9 +3,10 @@
 Texts are equal when they are identical without white space. Sampled splitters
 range-partition the normalised texts, an external sort makes equal texts
 neighbours, and a sorted aggregate compares each text in full with the one
-before it. The partition range ends with a hash of the row, so a group of copies
-that is larger than a partition is cut by splitters into several; each part is
-one row afterwards, and only these rows meet again.
+before it. Splitters order texts by their first characters and a hash of the
+rest, so they are small whatever the texts are. They end with a hash of the row,
+so a group of copies that is larger than a partition is cut into several; each
+part is one row afterwards, and only these rows meet again.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from halfstar.llm.common import hot_keys, salted_join, text_of, without_white
 from halfstar.sources.writers import materialise
 
+HEAD = 64  # characters of a text that order it in splitters
+
 
 def text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per distinct normalised text: ``_sha`` (SHA-256, binary), ``_best`` (characters, inverted id), ``group_size``."""
@@ -25,7 +28,9 @@ def text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.xxhash64(F.col(id_col), F.length(text_of(text_col))).alias("_spread"),
     )
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "_norm", "_spread").sortWithinPartitions("_norm")
+    # A sampled splitter comes to the driver, so it is a text's head and hash and not the whole text.
+    place = (F.substring("_norm", 1, HEAD), F.xxhash64("_norm"), F.col("_spread"))
+    ordered = rows.repartitionByRange(parts, *place).sortWithinPartitions("_norm")
     runs = ordered.groupBy("_norm").agg(F.max("_rank").alias("_best"), F.count(F.lit(1)).alias("group_size"))
     return runs.select(F.unhex(F.sha2("_norm", 256)).alias("_sha"), "_best", "group_size")
 
