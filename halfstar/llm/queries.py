@@ -116,7 +116,7 @@ c as (select row, a::bigint as a, found, case when regexp_matches(found, '^[0-9a
         and not regexp_matches(found, '(?i)example|sample|dummy|placeholder|changeme|x{8}|0123456789|123456789|abcdefghij')),
 w as (select row, a, least, found, unnest(range(0, length(found) - 15)) as i from c),
 h as (select row, a + min(i) as a, a + max(i) + 16 as z from w
-      where list_aggregate(string_split(found, '')[i + 1:i + 16], 'entropy') >= least group by row, a, found),
+      where list_aggregate(string_split(found, '')[i + 1:i + 16], 'entropy') >= least - 1e-9 group by row, a, found),
 n as (select row, 'entropy' as kind, 4 as rank, h.a, h.z from h where not exists (select 1 from b where b.row = h.row and b.a < h.z and h.a < b.z)),
 g as (select row, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
              string_agg(kind || ':' || a || ':' || z, ',' order by a, rank) as spans from b group by row),

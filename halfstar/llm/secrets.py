@@ -24,6 +24,7 @@ LEAST = {"assign": 12, "access": 18}
 
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 16
+NOISE = 1e-9  # windows can have exactly the bits asked for, and sums of logarithms are not exact
 # Least bits a character in the best window, by the candidate's character class. A
 # candidate must hold digits and letters: prose and numbers alone are in no class.
 CLASSES = (("hex", r"\A[0-9a-fA-F]+\z", 2.8), ("mixed", r"\A[A-Za-z0-9+/_=-]+\z", 3.5))
@@ -113,7 +114,7 @@ def _reach(codes: Column, letters: Column, least: Column) -> Column:
         total = s["sum"] + F.when(moved, _weight(entering + 1) - _weight(entering)).otherwise(0.0)
         total = total + F.when(moved & (x.leave > 0), _weight(leaving - 1) - _weight(leaving)).otherwise(0.0)
         counts = F.transform(s.counts, lambda c, j: c + (j + 1 == x.enter).cast("int") - (j + 1 == x.leave).cast("int"))
-        high = (x.end >= WINDOW) & (math.log2(WINDOW) - total / WINDOW >= least)
+        high = (x.end >= WINDOW) & (math.log2(WINDOW) - total / WINDOW >= least - NOISE)
         return F.struct(
             counts.alias("counts"), total.alias("sum"),
             F.when(s.first.isNull() & high, x.end - WINDOW).otherwise(s.first).alias("first"),

@@ -29,7 +29,7 @@ def brute_entropy(text):
             continue
         least = 2.8 if re.fullmatch("[0-9a-fA-F]+", s) else 3.5
         bits = [-sum(n / 16 * math.log2(n / 16) for n in Counter(s[i : i + 16]).values()) for i in range(len(s) - 15)]
-        high = [i for i, b in enumerate(bits) if b >= least]
+        high = [i for i, b in enumerate(bits) if b >= least - 1e-9]
         if high:
             spans.append((m.start() + high[0], m.start() + high[-1] + 16, "entropy"))
     return spans
