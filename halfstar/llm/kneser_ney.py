@@ -4,7 +4,7 @@ Documents are dealt into blocks of bounded size by a hash. Each block counts its
 trusted documents' n-grams and lists all its n-grams; the lists are joined with
 the counts, shard by shard, and every block gets back the probabilities of its
 own n-grams only. So neither a document nor the model is ever in one place, and
-what is moved grows with the text. Texts travel packed and compressed.
+what is moved grows with the text. Texts and lists travel packed and compressed.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from halfstar.sources.writers import materialise
 ORDER, BITS = 5, 12
 ALPHABET = 1 << BITS  # 0 begins a text, 1 ends it
 PLAIN = 3_800  # characters below have a symbol each, those above share one by 256s
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 16_000_000
 LEAST_BLOCKS = 16
 SLICE_CHARS = 500_000
 FOLDS = 5  # one in FOLDS trusted documents isn't trained on, but sets the thresholds
@@ -94,10 +94,24 @@ def _unpacked(packed: pd.DataFrame) -> Iterator[tuple[list, list, list, list[str
         yield pickle.loads(press.decompress(blob))
 
 
-def _count(packed: pd.DataFrame, trusted: pd.DataFrame) -> pd.DataFrame:
-    """The block's n-grams, each with its number in trusted documents."""
+def _press(grams: np.ndarray, values: np.ndarray) -> bytes:
+    """A sorted list of n-grams with a value each, as bytes: differences compress well."""
+    steps = np.diff(grams, prepend=np.int64(0))
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps((steps, values), protocol=5))
+
+
+def _pressed(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps, values = pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+    return np.cumsum(steps), values
+
+
+LISTS = "_block int, _shard int, _list binary"
+
+
+def _count(packed: pd.DataFrame, trusted: pd.DataFrame, shards: int) -> pd.DataFrame:
+    """The block's n-grams, each with its number in trusted documents: a list per shard."""
     if not len(packed):
-        return pd.DataFrame({"_block": [], "g": [], "c": []}).astype({"_block": "int32", "g": "int64", "c": "int64"})
+        return pd.DataFrame({"_block": [], "_shard": [], "_list": []}).astype({"_block": "int32", "_shard": "int32"})
     known = set(trusted["_id"])
     found = pd.Series(dtype="int64")
     for ids, _, _, texts in _unpacked(packed):
@@ -107,13 +121,38 @@ def _count(packed: pd.DataFrame, trusted: pd.DataFrame) -> pd.DataFrame:
             codes, names = pd.factorize(gram)
             counts = np.bincount(codes, weights=train[first : first + len(part)][owner], minlength=len(names))
             found = found.add(pd.Series(counts.astype(np.int64), index=names), fill_value=0)
-    return pd.DataFrame({"_block": np.int32(packed["_block"].iloc[0]), "g": found.index.to_numpy(np.int64), "c": found.to_numpy().astype(np.int64)})
+    found = found.sort_index()
+    grams, counts = found.index.to_numpy(np.int64), found.to_numpy().astype(np.int64)
+    rows = [(packed["_block"].iloc[0], s, _press(grams[at], counts[at])) for s in range(shards) if (at := grams % shards == s).any()]
+    return pd.DataFrame(rows, columns=["_block", "_shard", "_list"])
+
+
+def _add_up(lists: pd.DataFrame) -> pd.DataFrame:
+    """The counts of one shard's n-grams over all blocks."""
+    total = pd.Series(dtype="int64")
+    for blob in lists["_list"]:
+        grams, counts = _pressed(blob)
+        total = total.add(pd.Series(counts, index=grams), fill_value=0)
+    return pd.DataFrame({"g": total.index.to_numpy(np.int64), "c": total.to_numpy().astype(np.int64)})
+
+
+def _look_up(lists: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+    """The lists of one shard with bits instead of counts."""
+    model = model.sort_values("g")
+    grams, bits = model["g"].to_numpy(), model["bits"].to_numpy().astype(np.float32)
+    rows = []
+    for block, blob in zip(lists["_block"], lists["_list"]):
+        asked, _ = _pressed(blob)
+        rows.append((block, 0, _press(asked, bits[np.searchsorted(grams, asked)])))
+    return pd.DataFrame(rows, columns=["_block", "_shard", "_list"])
 
 
 def _score(packed: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
     """Of the block's documents: bits under the model, and the number of symbols."""
-    model = model.sort_values("g")
-    grams, bits = model["g"].to_numpy(), model["bits"].to_numpy()
+    parts = [_pressed(blob) for blob in model["_list"]]
+    grams = np.concatenate([g for g, _ in parts]) if parts else np.zeros(0, np.int64)
+    order = np.argsort(grams)
+    grams, bits = grams[order], (np.concatenate([b for _, b in parts])[order].astype(np.float64) if parts else np.zeros(0))
     rows: list[pd.DataFrame] = []
     for ids, keys, langs, texts in _unpacked(packed):
         for first, part in _slices(texts):
@@ -185,10 +224,12 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str
     chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
     blocks = max(LEAST_BLOCKS, -(-chars // BLOCK_CHARS))
     names = trusted.select(F.col("_id").cast("string").alias("_id"), _block("_id", None, blocks).alias("_block"))
-    counted = pack(held, blocks).groupBy("_block").cogroup(names.groupBy("_block")).applyInPandas(_count, "_block int, g long, c long")
-    lists = materialise(counted, "block-grams")
-    bits = gram_bits(lists.groupBy("g").agg(F.sum("c").alias("c")))
-    answers = lists.select("_block", "g").join(bits, "g")
+    shards = blocks | 1  # odd, so that all symbols of an n-gram have a part in its remainder
+    counted = pack(held, blocks).groupBy("_block").cogroup(names.groupBy("_block"))
+    lists = materialise(counted.applyInPandas(lambda packed, known: _count(packed, known, shards), LISTS), "block-grams")
+    bits = gram_bits(lists.groupBy("_shard").applyInPandas(_add_up, "g long, c long"))
+    bits = bits.withColumn("_shard", (F.col("g") % shards).cast("int"))
+    answers = lists.groupBy("_shard").cogroup(bits.groupBy("_shard")).applyInPandas(_look_up, LISTS)
     schema = "_id string, _key long, _lang string, bits double, n_symbols long"
     scored = pack(held, blocks).groupBy("_block").cogroup(answers.groupBy("_block")).applyInPandas(_score, schema)
     return scored.withColumn("_id", F.col("_id").cast(dict(docs.dtypes)[id_col]))
