@@ -183,7 +183,8 @@ from u left join f using (page_id) join h2 on u.host = h2.host
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     """A page's outcome is the quality label of the document whose number ends its address."""
     pages = table(spark, folder, "pages")
-    number = F.regexp_extract("url", r"/([0-9]{1,18})/?(?:[?#].*)?$", 1)
+    # The number can have a file ending; a host after :// is no document.
+    number = F.regexp_extract("url", r"(?:^|[^/]|[^:]/)/([0-9]{1,18})(?:\.[A-Za-z0-9]+)?/?(?:[?#].*)?$", 1)
     shown = pages.select("page_id", F.when(number != "", number.cast("long")).alias("doc_id"))
     labels = table(spark, folder, "labels").select("doc_id", (1 - F.col("quality")).alias("bad"))
     outcomes = shown.join(labels, "doc_id").select(F.col("page_id").alias("_row"), "bad")

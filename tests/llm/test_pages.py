@@ -3,9 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.conftest import PAGES, PROSE
+from tests.llm.conftest import LABELS, PAGES, PROSE
 
-from halfstar.llm import language_id, url_filter
+from halfstar.llm import language_id, queries, url_filter
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -57,6 +57,15 @@ def test_reputation(spark, pages):
     assert url_filter.filter_urls(pages([]), outcomes, RULES).count() == 0
 
 
+def test_outcomes_of_numbers_with_a_file_ending(spark, pages, tmp_path):
+    urls = [f"http://bad.a.net/en/{i}.html" for i in range(30)] + [f"http://good.b.org/en/{i}.html?x=1#top" for i in range(30, 60)]
+    pages([*urls, "http://77.com", "http://77.com/x"]).write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i, int(i >= 30), 0) for i in range(60)] + [(77, 0, 0)] * 30, LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.page_id: r for r in queries.op5(spark, str(tmp_path)).collect()}
+    assert all(got[i].verdict == "block" and got[i].host_rate > 0.9 for i in range(30))
+    assert all(got[i].host_rate < 0.1 for i in range(30, 60)) and got[60].host_rate < 0.9
+
+
 WORDS = {"en": "the and of river mill water wheel children", "de": "der die und mühle wasser rad kinder fluß", "fr": "le la et rivière moulin eau roue enfants"}
 
 
