@@ -63,27 +63,33 @@ def _repeated_exactly(words: list[bytes]) -> int:
 
 def measure(text: str | None) -> tuple[int, int, int, int, int]:
     """(words, their characters, symbols, lines that repeat an earlier one, words in repeated windows)."""
+    return measure_with_lines(text)[:-1]
+
+
+def measure_with_lines(text: str | None) -> tuple[int, int, int, int, int, int]:
+    """The five measures, and the number of lines with a word."""
     text = text or ""
     words = text.encode("utf-8").split()  # of bytes, split() knows the six white space characters of ASCII only
     white = sum(map(text.count, " \t\n\x0b\x0c\r"))
     lines = [line for line in text.split("\n") if line.strip(" \t\x0b\x0c\r")]
     symbols = len(text) - len(text.translate(_NO_SYMBOLS)) if any(map(text.__contains__, SYMBOLS)) else 0
-    return len(words), len(text) - white, symbols, len(lines) - len(set(lines)), repeated_words(words)
+    return len(words), len(text) - white, symbols, len(lines) - len(set(lines)), repeated_words(words), len(lines)
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+MEASURED = (*MEASURES, "_n_lines")
 
 
 def measure_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with its text replaced by the five measures; one pass, no shuffle."""
+    """``docs`` with its text replaced by the five measures and the number of lines; one pass, no shuffle."""
     others = [c for c in docs.columns if c != text_col]
-    schema = docs.select(*[F.col(f"`{c}`") for c in others], *[F.lit(0).cast("long").alias(m) for m in MEASURES]).schema
+    schema = docs.select(*[F.col(f"`{c}`") for c in others], *[F.lit(0).cast("long").alias(m) for m in MEASURED]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([measure(t.as_py()) for t in batch.column(text_col)], dtype=np.int64).reshape(-1, len(MEASURES))
+            found = np.array([measure_with_lines(t.as_py()) for t in batch.column(text_col)], dtype=np.int64).reshape(-1, len(MEASURED))
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in others], *map(pa.array, found.T.copy())], [*others, *MEASURES]
+                [*[batch.column(c) for c in others], *map(pa.array, found.T.copy())], [*others, *MEASURED]
             )
 
     return docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text_col}`")).mapInArrow(run, schema)
@@ -110,15 +116,15 @@ def quality_rules(
     """One row per row of ``docs``: id, the measures, base_failed, host_failed, host_rate, kept.
 
     ``base_failed``: under 20 words, or over 30% of the words in repeated windows.
-    For the host a document also fails with a symbol to ten words' characters, a
-    third of its lines repeated, or words of over 20 characters on average.
+    For the host a document also fails with a symbol to ten words' characters, over a
+    third of its lines with a word repeated, or words of over 20 characters on average.
     Null hosts are one host, null texts are empty; an empty table gives no rows.
     Measures are written to the scratch folder once; no text is shuffled.
     """
     held = docs.select(F.col(id_col).alias("_id"), F.col(host_col).alias("_host"), F.col(text_col).alias("_text"))
-    n, chars, symbols, dup, repeat = (F.col(m) for m in MEASURES)
+    n, chars, symbols, dup, repeat, lines = (F.col(m) for m in MEASURED)
     base = (n < 20) | (100 * repeat > 30 * n)
-    other = (10 * symbols > chars) | (3 * dup > n) | (chars > 20 * n)
+    other = (10 * symbols > chars) | (3 * dup > lines) | (chars > 20 * n)
     rows = measure_documents(held, "_text").withColumns({"base_failed": base, "host_failed": base | other, "_key": null_key("_host")})
     rows = materialise(rows, "measures")
     hosts = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("n"), F.count_if("host_failed").alias("failed"))

@@ -48,6 +48,16 @@ def test_hosts(make_docs, hard_docs, no_docs):
     assert quality_rules.quality_rules(no_docs).count() == 0
 
 
+def test_long_lines_that_repeat_fail_the_host(make_docs):
+    line = "read more on this site"
+    text = "".join(f"{' '.join(f'w{i}x{j}' for j in range(10))}\n{line}\n" for i in range(50))
+    fine = "".join(f"{' '.join(f'w{i}x{j}' for j in range(10))}\n" for i in range(50)) + f"{line}\n" * 20
+    rows = [(i, text, "en", "boilerplate", 0, "", "", "") for i in range(40)] + [(100 + i, fine, "en", "fine", 0, "", "", "") for i in range(40)]
+    for r in quality_rules.quality_rules(make_docs(rows)).collect():
+        assert (r.n_dup_lines, r.n_repeat_words == 0) == ((49, True) if r.doc_id < 100 else (19, False))
+        assert not r.base_failed and r.host_failed == (r.doc_id < 100) and r.kept == (r.doc_id >= 100)
+
+
 def test_prior_is_between_the_extremes(spark):
     from halfstar.llm.common import beta_prior
 
