@@ -1,7 +1,7 @@
 """Personal data in texts: fixed patterns, and a semi-Markov model for what they miss.
 
 The patterns' matches label the model's training regions; the model then reads
-every region with digits or an at sign and adds the spans that it finds between
+every stretch with digits or an at sign whole and adds the spans that it finds between
 the patterns' own. It so learns how such data look and what stands around them,
 and finds variants in other notation.
 """
@@ -84,6 +84,30 @@ def regions(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in cut if b > a]
 
 
+def stretches(text: str) -> list[tuple[int, int]]:
+    """All of the text around digits and at signs, however long, from word end to word end; no two touch."""
+    found: list[list[int]] = []
+    for m in MARK.finditer(text):
+        a, b = max(0, m.start() - REGION_SIDE), min(len(text), m.end() + REGION_SIDE)
+        if found and a <= found[-1][1] + REGION_GAP:
+            found[-1][1] = b
+        else:
+            found.append([a, b])
+    whole: list[tuple[int, int]] = []
+    for a, b in found:
+        least = whole[-1][1] if whole else 0
+        while least < a and text[a - 1].isalnum() and text[a].isalnum():
+            a -= 1
+        b = max(b, least)
+        while b < len(text) and text[b - 1].isalnum() and text[b].isalnum():
+            b += 1
+        if whole and a <= least:
+            whole[-1] = (whole[-1][0], b)
+        else:
+            whole.append((a, b))
+    return whole
+
+
 def train(samples: list[str], epochs: int = 5) -> SemiCrf:
     """Fit the model on regions of text, labelled by the patterns."""
     model = SemiCrf(["", *KINDS])
@@ -108,9 +132,12 @@ def find(text: str, model: SemiCrf) -> tuple[list[tuple[str, int, int]], list[tu
     """(the patterns' spans, the spans that the model adds where the patterns have none)."""
     base = base_spans(text)
     added = []
-    for a, b in regions(text):
-        for i, j, kind in model.best(lattice(text[a:b])):
-            if not any(a + i < e and s < a + j for _, s, e in base):
+    taken = bytearray(len(text))
+    for _, a, b in base:
+        taken[a:b] = b"\1" * (b - a)
+    for a, b in stretches(text):
+        for i, j, kind in model.best_of(text[a:b]):
+            if taken.find(1, a + i, a + j) < 0:
                 added.append((kind, a + i, a + j))
     return base, added
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -72,28 +73,37 @@ class Lattice:
 
 def lattice(text: str) -> Lattice:
     tokens = TOKEN.findall(text)
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(int)
-    rows, starts, ends, first = [], [], [], [0]
+    return next(_lattices(tokens, _offsets(tokens), max(len(tokens), 1)))
+
+
+def _offsets(tokens: list[str]) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(int)
+
+
+def _lattices(tokens: list[str], offsets: np.ndarray, step: int) -> Iterator[Lattice]:
+    """The segments of the tokens, those that end at ``step`` tokens after the other at a time."""
     marks = [t[0] in "0123456789@" for t in tokens]
     words, word = [], ""
     for t in tokens:
         words.append(word)
         word = t.lower() if t[0].isalpha() else word
-    for j in range(1, len(tokens) + 1):
-        marked = False
-        for i in range(j - 1, max(-1, j - 1 - MAX_TOKENS), -1):
-            if "\n" in tokens[i] and i < j - 1:
-                break
-            marked = marked or marks[i]
-            outside = j == i + 1
-            if not outside and (not marked or tokens[i].isspace() or tokens[j - 1].isspace()):
-                continue
-            codes = _code(_features(tokens, i, j, words[i]))
-            rows.append(codes + [0] * (SLOTS - len(codes)))
-            starts.append(i)
-            ends.append(j)
-        first.append(len(rows))
-    return Lattice(offsets, np.array(starts, int), np.array(ends, int), np.array(rows, int).reshape(-1, SLOTS), np.array(first))
+    for low in range(0, max(len(tokens), 1), step):
+        rows, starts, ends, first = [], [], [], [0]
+        for j in range(low + 1, min(low + step, len(tokens)) + 1):
+            marked = False
+            for i in range(j - 1, max(-1, j - 1 - MAX_TOKENS), -1):
+                if "\n" in tokens[i] and i < j - 1:
+                    break
+                marked = marked or marks[i]
+                outside = j == i + 1
+                if not outside and (not marked or tokens[i].isspace() or tokens[j - 1].isspace()):
+                    continue
+                codes = _code(_features(tokens, i, j, words[i]))
+                rows.append(codes + [0] * (SLOTS - len(codes)))
+                starts.append(i)
+                ends.append(j)
+            first.append(len(rows))
+        yield Lattice(offsets, np.array(starts, int), np.array(ends, int), np.array(rows, int).reshape(-1, SLOTS), np.array(first))
 
 
 class SemiCrf:
@@ -111,25 +121,37 @@ class SemiCrf:
 
     def best(self, x: Lattice) -> list[tuple[int, int, str]]:
         """Entities (start, end, label) of the best labelling, in characters of the region."""
-        n, scores = len(x.first) - 1, self._scores(x)
-        top = np.full((n + 1, len(self.labels)), MINUS)
-        top[0, 0] = 0.0
-        entry = np.full_like(top, MINUS)
-        came: list = [None] * (n + 1)
-        origin = np.zeros((n + 1, len(self.labels)), int)
-        for j in range(n + 1):
-            if j:
-                a, b = x.first[j - 1], x.first[j]
+        return self._best(x.offsets, [x])
+
+    def best_of(self, text: str, step: int = 512) -> list[tuple[int, int, str]]:
+        """The same for a text of any length: segments are held for ``step`` tokens at a time, states for all."""
+        tokens = TOKEN.findall(text)
+        offsets = _offsets(tokens)
+        return self._best(offsets, _lattices(tokens, offsets, step))
+
+    def _best(self, offsets: np.ndarray, parts: Iterable[Lattice]) -> list[tuple[int, int, str]]:
+        n, k = len(offsets) - 1, len(self.labels)
+        top = np.full(k, MINUS)
+        top[0] = 0.0
+        entry = np.full((n + 1, k), MINUS)
+        came, origin = np.zeros((n + 1, k), np.int32), np.zeros((n + 1, k), np.int32)
+        through = top[:, None] + self.moves
+        entry[0], origin[0] = through.max(0), through.argmax(0)
+        j = 0
+        for x in parts:
+            scores = self._scores(x)
+            for a, b in zip(x.first[:-1].tolist(), x.first[1:].tolist()):
+                j += 1
                 at = entry[x.start[a:b]] + scores[a:b]
-                came[j] = at.argmax(0)
-                top[j] = at.max(0)
-            through = top[j][:, None] + self.moves
-            entry[j], origin[j] = through.max(0), through.argmax(0)
-        found, j, y = [], n, int(top[n].argmax())
+                came[j] = x.start[a + at.argmax(0)]
+                top = at.max(0)
+                through = top[:, None] + self.moves
+                entry[j], origin[j] = through.max(0), through.argmax(0)
+        found, j, y = [], n, int(top.argmax())
         while j:
-            i = int(x.start[x.first[j - 1] + came[j][y]])
+            i = int(came[j, y])
             if y:
-                found.append((int(x.offsets[i]), int(x.offsets[j]), self.labels[y]))
+                found.append((int(offsets[i]), int(offsets[j]), self.labels[y]))
             j, y = i, int(origin[i, y])
         return found[::-1]
 

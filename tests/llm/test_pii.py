@@ -60,6 +60,31 @@ def test_model_finds_what_it_learnt():
     assert not any(k == "phone" for k, _, _ in base) and ("phone", 5, 22) in added
 
 
+def test_dense_text_is_read_whole():
+    rng = random.Random(7)
+    model = pii.train([person(rng) for _ in range(200)])
+    piece = "call +1 (415) 555-2671 4539148803436467 now; "
+    base, added = pii.find(piece * 200, model)
+    assert {s for s in added if s[0] == "phone"} >= {("phone", i * len(piece) + 5, i * len(piece) + 22) for i in range(200)}
+    text = "".join(person(rng) + rng.choice([" ", "; ", "\n"]) for _ in range(60))
+    want = model.best(semi_crf.lattice(text))
+    assert all(model.best_of(text, step) == want for step in (1, 7, 512)) and model.best_of("") == []
+
+
+def test_stretches_hold_every_mark():
+    numbers = "030 123 45 67 80; " * 1000
+    assert pii.stretches(numbers) == [(0, len(numbers))]
+    rng = random.Random(5)
+    for _ in range(2000):
+        text = "".join(rng.choice(["a", "b" * 40, " ", "é", "7", "@", "x " * 30]) for _ in range(rng.randint(0, 40)))
+        found = pii.stretches(text)
+        assert all(a < b <= c < d for (a, b), (c, d) in zip(found, found[1:]))
+        assert all(any(a <= m.start() < b for a, b in found) for m in re.finditer("[0-9@]", text))
+        for a, b in found:
+            for cut in {a, b} - {0, len(text)}:
+                assert not (text[cut - 1].isalnum() and text[cut].isalnum())
+
+
 def test_gradient_against_differences():
     rng = random.Random(1)
     model = semi_crf.SemiCrf(["", "x", "y"])
