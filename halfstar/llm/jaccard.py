@@ -1,11 +1,12 @@
-"""Join of similar texts: a MinHash forest of sorted prefixes, then exact verification.
+"""Join of similar texts: banded MinHash, then exact verification.
 
 Texts are sets of shingles of five words. Copies (equal words) become one class
-first. Each class has a label of DEPTH minimum hashes in each tree of the forest;
-in the sorted labels of a tree, classes that share a prefix stand together. The
-prefix starts at full depth and is shortened until pairs at the threshold are
-found with at least the target recall. The classes under one prefix are linked to
-the least of them, so a run of any size gives fewer links than it has members.
+first. Each class has a hash of some minimum hashes in each of TREES bands. How
+many is fixed before any data are read: the most, up to DEPTH, by which pairs at
+the threshold are found with at least the target recall. This is no MinHash
+forest: there are no sorted labels, and nothing adapts to the data. The classes
+under one hash are linked to the least of them, so a run of any size gives fewer
+links than it has members.
 Connected classes then meet in blocks of bounded size, and the shared
 shingles of every two of them are counted exactly.
 """
