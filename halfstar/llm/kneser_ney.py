@@ -5,6 +5,10 @@ trusted documents' n-grams and lists all its n-grams; the lists are joined with
 the counts, shard by shard, and every block gets back the probabilities of its
 own n-grams only. So neither a document nor the model is ever in one place, and
 what is moved grows with the text. Texts and lists travel packed and compressed.
+
+Characters from PLAIN on share a symbol by 256s: in scripts above it, such as
+Georgian, kana, Chinese and Hangul, the model tells blocks apart, not characters,
+and can't tell made-up text of the script from trusted text.
 """
 
 from __future__ import annotations
