@@ -82,8 +82,11 @@ def _held(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def window_reach(text: Column, least: Column) -> Column:
-    """(first, last): from where the first to where the last window with ``least`` bits a character reaches, else nulls.
+STRETCHES = "array<struct<start:int,end:int>>"
+
+
+def high_stretches(text: Column, least: Column, allowed: Column) -> Column:
+    """Array of (start, end): what the windows with ``least`` bits a character cover, but for those that overlap an allowed span.
 
     The state holds a count per distinct character and the sum of their weights;
     each step changes at most two counts.
@@ -92,20 +95,21 @@ def window_reach(text: Column, least: Column) -> Column:
 
     def coded(c: Column) -> Column:
         return _held(F.array_distinct(c), lambda letters: _held(
-            F.transform(c, lambda x: F.array_position(letters, x).cast("int")), lambda codes: _reach(codes, letters, least)
+            F.transform(c, lambda x: F.array_position(letters, x).cast("int")), lambda codes: _stretches(codes, letters, least, allowed)
         ))
 
     return _held(chars, coded)
 
 
-def _reach(codes: Column, letters: Column, least: Column) -> Column:
+def _stretches(codes: Column, letters: Column, least: Column, allowed: Column) -> Column:
     state = F.struct(
-        F.transform(letters, lambda c: F.lit(0)).alias("counts"), F.lit(0.0).alias("sum"),
+        F.transform(letters, lambda c: F.lit(0)).alias("counts"), F.lit(0.0).alias("sum"), F.array().cast(STRETCHES).alias("done"),
         F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"),
     )
     steps = F.transform(codes, lambda c, i: F.struct(
         c.alias("enter"), F.when(i >= WINDOW, F.element_at(codes, i - WINDOW + 1)).otherwise(0).alias("leave"), (i + 1).alias("end")
     ))
+    closed = lambda s: F.array(F.struct(s.first.alias("start"), s["last"].alias("end")))
 
     def step(s: Column, x: Column) -> Column:
         entering = F.element_at(s.counts, x.enter)
@@ -115,50 +119,63 @@ def _reach(codes: Column, letters: Column, least: Column) -> Column:
         total = total + F.when(moved & (x.leave > 0), _weight(leaving - 1) - _weight(leaving)).otherwise(0.0)
         counts = F.transform(s.counts, lambda c, j: c + (j + 1 == x.enter).cast("int") - (j + 1 == x.leave).cast("int"))
         high = (x.end >= WINDOW) & (math.log2(WINDOW) - total / WINDOW >= least - NOISE)
+        high = high & ~F.exists(allowed, lambda w: (w.start < x.end) & (x.end - WINDOW < w.end))
+        apart = high & (x.end - WINDOW > s["last"])
         return F.struct(
             counts.alias("counts"), total.alias("sum"),
-            F.when(s.first.isNull() & high, x.end - WINDOW).otherwise(s.first).alias("first"),
+            F.when(apart, F.concat(s.done, closed(s))).otherwise(s.done).alias("done"),
+            F.when(high & (s.first.isNull() | apart), x.end - WINDOW).otherwise(s.first).alias("first"),
             F.when(high, x.end).otherwise(s["last"]).alias("last"),
         )
 
-    return F.aggregate(steps, state, step, lambda s: F.struct(s.first.alias("first"), s["last"].alias("last")))
+    return F.aggregate(steps, state, step, lambda s: F.when(s.first.isNull(), s.done).otherwise(F.concat(s.done, closed(s))))
 
 
 def entropy_spans(text: Column, allowed: tuple[str, ...] = ALLOWED) -> Column:
-    """Array of (start, end, kind ``entropy``) of candidates with a window of high entropy, but for allowed ones."""
-
-    def wanted(c: Column) -> Column:
-        keep = c.text.rlike("[0-9]") & c.text.rlike("[A-Za-z]")
-        for pattern in allowed:
-            keep = keep & ~c.text.rlike(pattern)
-        return keep
+    """Array of (start, end, kind ``entropy``) of what windows of high entropy in candidates cover, allowed matches left out."""
 
-    def reach(c: Column) -> Column:
+    def found(c: Column) -> Column:
         least = F.lit(None).cast("double")
         for _, pattern, bits in reversed(CLASSES):
             least = F.when(c.text.rlike(pattern), F.lit(bits)).otherwise(least)
-        return F.struct(c.start.alias("start"), window_reach(c.text, least).alias("reach"))
+        spans = F.concat(F.array().cast("array<struct<start:int,end:int,text:string>>"), *[
+            F.when(c.text.rlike(p), located(c.text, p)).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>")) for p in allowed
+        ])
+        high = _held(spans, lambda held: high_stretches(c.text, least, held))
+        return F.transform(high, lambda h: F.struct(
+            (c.start + h.start).alias("start"), (c.start + h.end).alias("end"), F.lit("entropy").alias("kind")
+        ))
 
-    reached = F.transform(F.filter(located(text, CANDIDATE), wanted), reach)
-    high = F.filter(reached, lambda r: r.reach.first.isNotNull())
-    spans = F.transform(high, lambda r: F.struct(
-        (r.start + r.reach.first).alias("start"), (r.start + r.reach["last"]).alias("end"), F.lit("entropy").alias("kind")
-    ))
+    wanted = F.filter(located(text, CANDIDATE), lambda c: c.text.rlike("[0-9]") & c.text.rlike("[A-Za-z]"))
+    spans = F.flatten(F.transform(wanted, found))
     return F.when(text.rlike(CANDIDATE), spans).otherwise(F.array().cast("array<struct<start:int,end:int,kind:string>>"))
 
 
+def without(spans: Column, base: Column) -> Column:
+    """``spans`` less those of ``base``; what is left of one and holds no window goes."""
+
+    def less(left: Column, b: Column) -> Column:
+        parts = F.flatten(F.transform(left, lambda p: F.array(
+            F.struct(p.start.alias("start"), F.least(p.end, b.start).alias("end"), p.kind.alias("kind")),
+            F.struct(F.greatest(p.start, b.end).alias("start"), p.end.alias("end"), p.kind.alias("kind")),
+        )))
+        return F.filter(parts, lambda p: p.end - p.start >= WINDOW)
+
+    return F.aggregate(base, spans, less)
+
+
 def find_secrets(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allowed: tuple[str, ...] = ALLOWED,
     entropy: Callable[[Column, tuple[str, ...]], Column] = entropy_spans,
 ) -> DataFrame:
     """One row per row of ``docs``: id, ``base`` and ``added``, arrays of (start, end, kind) in code points, end exclusive.
 
-    ``base`` are the patterns' matches; ``added`` are high-entropy spans that overlap
-    none of them. A null text is the empty text and has no spans. ``allowed`` are
-    patterns of candidates that are no secrets; the patterns' matches stay anyway.
+    ``base`` are the patterns' matches; ``added`` are stretches of high entropy
+    less these matches. A null text is the empty text and has no spans. ``allowed`` are
+    patterns of what is no secret: windows that overlap a match aren't counted; the
+    patterns' matches stay anyway.
     Whole texts are read in one pass over the table, without a shuffle.
     """
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
     rows = rows.select("_id", pattern_spans(F.col("_text")).alias("base"), entropy(F.col("_text"), allowed).alias("_high"))
-    apart = F.filter("_high", lambda h: ~F.exists("base", lambda b: (b.start < h.end) & (h.start < b.end)))
-    return rows.select(F.col("_id").alias(id_col), "base", apart.alias("added"))
+    return rows.select(F.col("_id").alias(id_col), "base", without(F.col("_high"), F.col("base")).alias("added"))
