@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +61,8 @@ PIECE_MODEL = "piece_bpe_32k.model"
 
 @query("op8_pieces")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers  # the other queries work without it
+
     model = public_tokenizers.path(PIECE_MODEL)
     encoded = pieces.encode_texts(table(spark, folder, "documents").select("doc_id", "text"), model)
     return pieces.decode_texts(encoded, model).select(
@@ -102,26 +103,33 @@ SECRETS_SQL = r"""
 with t as (select doc_id, row_number() over () as row, coalesce(text, '') as text from documents),
 p(kind, rank, pattern) as (values
   ('assign', 1, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
-  ('access', 2, 'AKIA[A-Z0-9]+'), ('hex', 3, '[0-9a-f]+'), ('entropy', 4, '[A-Za-z0-9+/_=-]{20,}')),
+  ('access', 2, 'AKIA[A-Z0-9]+'), ('hex', 3, '[0-9a-f]+'), ('candidate', 4, '[A-Za-z0-9+/_=-]{20,}')),
 f as (select row, kind, rank, unnest(found) as found, unnest(range(1, len(found) + 1)) as i, gaps, found as every
       from (select row, kind, rank, regexp_extract_all(text, pattern, 0) as found,
                    list_transform(string_split_regex(text, pattern), lambda g: length(g)) as gaps from t, p)),
-s as (select row, kind, rank, found, coalesce(list_sum(gaps[1:i]), 0) + coalesce(list_sum(list_transform(every[1:i - 1], lambda m: length(m))), 0) as a from f
+s as (select row, kind, rank, found, (coalesce(list_sum(gaps[1:i]), 0) + coalesce(list_sum(list_transform(every[1:i - 1], lambda m: length(m))), 0))::bigint as a from f
       where length(found) >= case kind when 'assign' then 12 when 'access' then 18 when 'hex' then 16 else 20 end),
-b as (select row, kind, rank, a::bigint as a, (a + length(found))::bigint as z from s
-      where kind in ('access', 'hex') or kind = 'assign' and length(regexp_extract(found, '^((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2)) >= 12),
-c as (select row, a::bigint as a, found, case when regexp_matches(found, '^[0-9a-fA-F]+$') then 2.8 else 3.5 end as least from s
-      where kind = 'entropy' and regexp_matches(found, '[0-9]') and regexp_matches(found, '[A-Za-z]')
-        and not regexp_matches(found, '^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$')
-        and not regexp_matches(found, '(?i)example|sample|dummy|placeholder|changeme|x{8}|0123456789|123456789|abcdefghij')),
-w as (select row, a, least, found, unnest(range(0, length(found) - 15)) as i from c),
-h as (select row, a + min(i) as a, a + max(i) + 16 as z from w
-      where list_aggregate(string_split(found, '')[i + 1:i + 16], 'entropy') >= least - 1e-9 group by row, a, found),
-n as (select row, 'entropy' as kind, 4 as rank, h.a, h.z from h where not exists (select 1 from b where b.row = h.row and b.a < h.z and h.a < b.z)),
+base as (select row, kind, rank, a, a + length(found) as z from s
+         where kind in ('access', 'hex') or kind = 'assign' and length(regexp_extract(found, '^((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2)) >= 12),
+c as (select row, a, found, case when regexp_matches(found, '^[0-9a-fA-F]+$') then 2.8 else 3.5 end as least from s
+      where kind = 'candidate' and regexp_matches(found, '[0-9]') and regexp_matches(found, '[A-Za-z]')),
+q(pattern) as (values ('^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$'),
+  ('(?i)example|sample|dummy|placeholder|changeme|x{8}'), ('(?i)0123456789|123456789|abcdefghij')),
+o as (select row, a, unnest(found) as found, unnest(range(1, len(found) + 1)) as i, gaps, found as every
+      from (select row, a, regexp_extract_all(found, pattern, 0) as found,
+                   list_transform(string_split_regex(found, pattern), lambda g: length(g)) as gaps from c, q)),
+allowed as (select row, a, (coalesce(list_sum(gaps[1:i]), 0) + coalesce(list_sum(list_transform(every[1:i - 1], lambda m: length(m))), 0))::bigint as x, length(found) as size from o),
+w as (select row, a, found, least, unnest(range(0, length(found) - 15)) as i from c),
+h as (select row, a, i from w where list_aggregate(string_split(found, '')[i + 1:i + 16], 'entropy') >= least - 1e-9
+        and not exists (select 1 from allowed x where x.row = w.row and x.a = w.a and x.x < w.i + 16 and w.i < x.x + x.size)),
+place as (select distinct row, a + i + unnest(range(0, 16)) as spot from h),
+clear as (select row, spot from place where not exists (select 1 from base b where b.row = place.row and b.a <= place.spot and place.spot < b.z)),
+run as (select row, spot, spot - row_number() over (partition by row order by spot) as island from clear),
+added as (select row, 'entropy' as kind, 4 as rank, min(spot) as a, max(spot) + 1 as z from run group by row, island having count(*) >= 16),
 g as (select row, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
-             string_agg(kind || ':' || a || ':' || z, ',' order by a, rank) as spans from b group by row),
+             string_agg(kind || ':' || a || ':' || z, ',' order by a, rank) as spans from base group by row),
 e as (select row, string_agg(kind || ':' || a || ':' || z, ',' order by a, rank) as spans, count(*) filter (kind = 'entropy') as n_entropy
-      from (select * from b union all select * from n) group by row)
+      from (select * from base union all select * from added) group by row)
 select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
        sha256(coalesce(g.spans, '')) as base_sha256, coalesce(e.spans, '') as spans, coalesce(n_entropy, 0) as n_entropy
 from t left join g using (row) left join e using (row)
@@ -160,7 +168,7 @@ def _strength_sql(rows: str) -> str:
 URL_SQL = rf"""
 with u as (select page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), '{url_filter.UPPER}', '{url_filter.LOWER}') as host,
                   coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') as path,
-                  try_cast(nullif(regexp_extract(url, '/([0-9]{{1,18}})/?([?#].*)?$', 1), '') as bigint) as doc_id from pages),
+                  try_cast(nullif(regexp_extract(url, '(?:^|[^/]|[^:]/)/([0-9]{{1,18}})(?:\.[A-Za-z0-9]+)?/?(?:[?#].*)?$', 1), '') as bigint) as doc_id from pages),
 o as (select u.*, 1 - quality as bad from u left join labels using (doc_id)),
 h as (select host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') as domain, string_split(host, '.')[-1] as suffix,
              count(bad) as n, coalesce(sum(bad), 0)::bigint as bad from o group by all),
