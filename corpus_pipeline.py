@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +35,8 @@ def mixed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def tokenised(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """The token ids of every document of the mix."""
+    import public_tokenizers  # the other stages work without it
+
     encoded = pieces.encode_texts(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path(MODEL))
     return encoded.withColumn("n_tokens", F.size("ids").cast("long"))
 
