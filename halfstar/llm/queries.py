@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halfstar.llm import exact_dedup, jaccard, kneser_ney, language_id, mixing, pieces, pii, quality_rules, secrets, url_filter
+from halfstar.llm import (
+    collocations, exact_dedup, jaccard, kneser_ney, language_id, mixing, pieces, pii, projections, quality_rules, secrets, url_filter, vector_codes,
+)
 from halfstar.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -212,3 +214,63 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_language_id")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify(table(spark, folder, "pages"), table(spark, folder, "documents"))
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Plain rounds over all parts and entries, one after the other."""
+    gap = "list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = [f"""
+k as materialized (select row_number() over (order by vec_id nulls last, embedding) as row, vec_id, label,
+       list_transform(embedding, lambda x: floor(4096 * x::double)::bigint) as v from embeddings
+     where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as materialized (select row, part, v[part * (len(v) // {parts}) + 1:(part + 1) * (len(v) // {parts})] as v from k, range({parts}) t(part)),
+c0 as materialized (select part, row - 1 as entry, v from p where row <= {entries})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+a{i} as materialized (select row, part, any_value(p.v) as v, min({gap}::hugeint * {entries} + entry) as best from p join c{i} c using (part) group by row, part)""")
+        if i < rounds:
+            steps.append(f"""
+s{i} as (select part, (best % {entries})::bigint as entry, d, sum(v[d]) as total, count(*)::hugeint as n from a{i}, range(1, (select max(len(v)) + 1 from p)) t(d) group by all),
+c{i + 1} as materialized (select c.part, c.entry, coalesce(f.v, c.v) as v from c{i} c
+       left join (select part, entry, list(((total - ((total % n) + n) % n) // n)::bigint order by d) as v from s{i} group by part, entry) f using (part, entry))""")
+    return "with " + ",".join(steps) + f""",
+e as (select row, string_agg(printf('%02x', (best % {entries})::bigint), '' order by part) as code, sum(best // {entries})::bigint as error from a{rounds} group by row),
+b as (select sha256(coalesce(string_agg(x::varchar, ',' order by part, entry, d), '')) as codebooks_sha256
+      from (select part, entry, unnest(v) as x, unnest(range(1, len(v) + 1)) as d from c{rounds}))
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from k join e using (row), b
+"""
+
+
+@query("op11_vector_codes", _codes_sql())
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.compress(table(spark, folder, "embeddings"))
+
+
+@query("op12_near_vectors")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return projections.near_duplicates(table(spark, folder, "embeddings"))
+
+
+COLLOCATIONS_SQL = r"""
+with t as (select coalesce(lang, 'und') as lang, row_number() over () as row,
+                  unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as words from t),
+g as (select lang, words, k, unnest(range(1, len(words) - k + 2)) as i from w, range(1, 6) s(k) where len(words) >= k),
+f as materialized (select lang, k::bigint as k, array_to_string(words[i:i + k - 1], ' ') as phrase, count(*)::hugeint as f from g group by all),
+n as (select lang, sum(f)::hugeint as n from f where k = 1 group by lang),
+c as materialized (select lang, k, phrase, f as a, string_split(phrase, ' ') as words from f where k > 1 and f >= 100),
+inner_ as (select lang, array_to_string(words[i:i + m - 1], ' ') as phrase, max(a) as longer
+           from (select *, unnest(range(1, k - m + 2)) as i from (select *, unnest(range(2, k)) as m from c where k > 2)) group by all),
+d as (select c.* from c left join inner_ x using (lang, phrase) where longer is null or 100 * longer < 100 * a),
+u as (select *, array_to_string(words[1:cut], ' ') as one, array_to_string(words[cut + 1:], ' ') as two from (select *, unnest(range(1, k)) as cut from d)),
+s as (select u.lang, u.phrase, a, l.f as l, r.f as r, n, cut, 1000 * a * n // (l.f * r.f) as score
+      from u join f l on l.lang = u.lang and l.phrase = one and l.k = cut join f r on r.lang = u.lang and r.phrase = two and r.k = u.k - cut join n on n.lang = u.lang),
+b as (select * from s qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+o as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from b)
+select lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score from o where rank <= 2000
+"""
+
+
+@query("op13_collocations", COLLOCATIONS_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))

@@ -5,7 +5,7 @@ import pytest
 from halfstar.llm.queries import QUERIES
 
 
-@pytest.mark.parametrize("n", range(1, 11))
+@pytest.mark.parametrize("n", range(1, 14))
 def test_one_query_each(n):
     assert len([q for q in entry.queries() if q.startswith(f"op{n}_")]) == 1
 
