@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from halfstar.operators import skew
+from halfstar.operators.ranking import ranked
 from halfstar.operators.skew import TASK_ROWS, group_sizes, max_group_rows
 
 # Places of the item ranking looked at first; users who have rated nearly all of
@@ -26,16 +27,18 @@ def ranked_order(score: Column) -> list[Column]:
     return [F.round(score, 9).desc(), F.col("movieId").asc()]
 
 
-def rank_candidates(candidates: DataFrame, k: int | None = None) -> DataFrame:
+def rank_candidates(candidates: DataFrame, k: int | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
     """Position of each (userId, movieId, score) candidate within its user.
 
     With ``k``, only the first k are kept and the rest falls away before the
-    shuffle. Without it, the candidates of one user are ranked in one task, so
-    the list per user must be of bounded length.
+    shuffle. Without it, the candidates are counted, and users with more than
+    ``task_rows`` of them are ranked over many tasks.
     """
-    order = Window.partitionBy("userId").orderBy(*ranked_order(F.col("score")))
-    ranked = candidates.withColumn("pos", F.row_number().over(order))
-    return ranked.where(F.col("pos") <= k) if k is not None else ranked
+    best = ranked_order(F.col("score"))
+    if k is None:
+        return ranked(candidates, ["userId"], best, "pos", task_rows)
+    order = Window.partitionBy("userId").orderBy(*best)
+    return candidates.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k)
 
 
 def topk_per_user(ratings: DataFrame, k: int = 10) -> DataFrame:

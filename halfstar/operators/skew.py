@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 TASK_ROWS = 1_000_000
 # Heavy groups are listed and broadcast up to this many; more stay a distributed table.
 MAX_LISTED = 10_000
+# A key with more than a HOT_SHARE-th of all rows is hot, so at most HOT_SHARE keys are.
+HOT_SHARE = 100
+SALTS = 64
+
 
 @dataclass(frozen=True)
 class Heavy:
@@ -58,3 +62,23 @@ def same_group(keys: list[str], prefix: str) -> list[Column]:
 
 def prefixed(df: DataFrame, keys: list[str], prefix: str, *others: str) -> DataFrame:
     return df.select(*[F.col(key).alias(f"{prefix}{key}") for key in keys], *others)
+
+
+def hot_keys(sizes: DataFrame, key: str, rows: str, total: int) -> list:
+    """The keys with more than a HOT_SHARE-th of ``total`` rows, at most HOT_SHARE; ``sizes`` has a row per key with its ``rows``."""
+    found = sizes.where((F.col(rows) * HOT_SHARE > F.lit(total)) & F.col(key).isNotNull()).select(key).collect()
+    return [r[0] for r in found]
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, hot: list, spread: Column, how: str = "left") -> DataFrame:
+    """Join on ``key``, of which ``right`` has one row each; rows of a ``hot`` key are dealt over SALTS partitions by ``spread``.
+
+    The row of a hot key on the right is repeated as often. The result doesn't
+    depend on which keys are listed as hot, nor on session settings.
+    """
+    if not hot:
+        return left.join(right, key, how)
+    is_hot = F.col(key).isin(hot)
+    salted = left.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0))
+    every = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(right.withColumn("_salt", F.explode(every)), [key, "_salt"], how).drop("_salt")

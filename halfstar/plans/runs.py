@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halfstar.functions.scalars import parse_num_cores
-from halfstar.models.als import als_blocks, als_fit, als_predict, als_recommend_unseen, biased_mf_fit
+from halfstar.models.als import als_blocks, als_fit, als_predict, als_recommend_unseen
+from halfstar.models.sgd import sgd_fit
 from halfstar.operators.evaluate import error_metrics, ranking_report
 from halfstar.operators.quantiles import exact_medians, medians
 from halfstar.operators.skew import heavy_table, prefixed, same_group
@@ -84,14 +86,15 @@ def median_run(runs: DataFrame, by: list[str] = (), metric: str = "rmse", median
     middle = prefixed(middle, config, "m_", f"median_{metric}")
     # Rounded, so that runs equally far on either side tie in spite of float noise.
     distance = F.round(F.abs(F.col(metric) - F.col(f"median_{metric}")), 9)
-    near = runs.join(middle, same_group(config, "m_")).withColumn("m_distance", distance)
-    # Two aggregates of plain numbers, which hash, instead of one of structs, which sorts.
-    least = near.groupBy(*config, f"median_{metric}").agg(F.min("m_distance").alias("l_distance"))
-    least = prefixed(least, config, "l_", f"median_{metric}", "l_distance").withColumnRenamed(f"median_{metric}", "l_median")
-    first = near.join(least, [*same_group(config, "l_"), F.col("m_distance").eqNullSafe(F.col("l_distance"))])
-    first = first.groupBy(*config, f"median_{metric}").agg(F.min("run_id").alias("run_id"))
-    first = prefixed(first, config, "f_", F.col("run_id").alias("f_run_id"))
-    met = near.join(first, [*same_group(config, "f_"), F.col("run_id") == F.col("f_run_id")])
+    near = runs.join(middle, same_group(config, "m_"))
+    # Distance, then run id, in one number: a plain minimum, which hashes; a struct's would sort.
+    whole = lambda c: c.cast("decimal(38,0)")
+    key = whole(whole(F.round(distance * 10**9)) * F.lit(Decimal(10) ** 19) + whole(F.col("run_id")))
+    first = near.groupBy(*config, f"median_{metric}").agg(F.min(key).alias("key"), F.min("run_id").alias("any_run"))
+    # A configuration without any value of the metric has its first run.
+    chosen = F.coalesce(F.pmod("key", F.lit(Decimal(10) ** 19)).cast("long"), "any_run")
+    first = prefixed(first.withColumn("chosen", chosen), config, "f_", "chosen", f"median_{metric}")
+    met = runs.join(first, [*same_group(config, "f_"), F.col("run_id") == F.col("chosen")])
     return met.select(*config, "run_id", metric, f"median_{metric}")
 
 
@@ -127,7 +130,7 @@ def multi_seed_als(
     or parameters are never aggregated with them.
     """
     models, records, labels = [], [], {"experiment": experiment, "sample": sample}
-    blocks = als_blocks(train)
+    blocks = als_blocks(train, rank)
     for run in range(n_runs):
         model, record = _one_run(
             lambda: als_fit(train, rank, reg, max_iter, seed + run, blocks),
@@ -152,11 +155,10 @@ def multi_seed_biased_mf(
 ) -> tuple[list, DataFrame]:
     """The same for biased matrix factorization, logged as model ``SVD`` with seeds seed + 1, seed + 2, ..."""
     models, records, labels = [], [], {"experiment": experiment, "sample": sample}
-    blocks = als_blocks(train)
     master = train.sparkSession.sparkContext.master
     for run in range(n_runs):
         model, record = _one_run(
-            lambda: biased_mf_fit(train, n_factors, n_epochs, seed=seed + run + 1, blocks=blocks),
+            lambda: sgd_fit(train, n_factors, n_epochs, seed=seed + run + 1),
             lambda m: m.predict(test),
             lambda m: m.recommend_unseen(train, users, K),
             test, users,
@@ -164,7 +166,7 @@ def multi_seed_biased_mf(
         models.append(model)
         records.append(record | labels | {
             "run_id": run, "model": "SVD", "cores": master, "seed": seed + run + 1, "n_factors": n_factors,
-            "n_epochs": n_epochs, "blocks": blocks,
+            "n_epochs": n_epochs,
         })
     return models, run_log(train.sparkSession, records)
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from halfstar.models import als, bias, item_mean, user_knn
-from halfstar.operators import evaluate
+from halfstar.operators import evaluate, factors
 from tests.fixtures import planted, random_ratings, ratings, rows_of
 
 
@@ -35,9 +35,9 @@ def test_als_learns_and_repeats(low_rank):
     assert dots.where(F.abs(F.col("dot") - F.col("prediction")) > 1e-4).isEmpty()
 
 
-def test_biased_mf_learns(low_rank):
+def test_residual_mf_learns(low_rank):
     train, test = low_rank
-    model = als.biased_mf_fit(train, n_factors=5, n_epochs=10, reg=0.05)
+    model = als.residual_mf_fit(train, n_factors=5, n_epochs=10, reg=0.05)
     predicted = model.predict(test)
     assert error(predicted) < 0.6 * mean_error(train, test)
     assert predicted.where(~F.col("prediction").between(0.5, 5.0)).isEmpty()
@@ -46,8 +46,8 @@ def test_biased_mf_learns(low_rank):
 
 @pytest.mark.parametrize("block", [4096, 7])
 def test_als_recommends_unseen(spark, low_rank, block, monkeypatch):
-    monkeypatch.setattr(als, "SCORED_USERS", block)
-    monkeypatch.setattr(als, "SCORED_ITEMS", block)
+    monkeypatch.setattr(factors, "SCORED_USERS", block)
+    monkeypatch.setattr(factors, "SCORED_ITEMS", block)
     train, test = low_rank
     model = als.als_fit(train, rank=3, max_iter=3)
     users = test.select("userId").distinct()
@@ -69,9 +69,9 @@ def check_unseen(got, train, users, user_factors, item_factors, k):
         assert mine[u] == pytest.approx(scores[:k], abs=1e-4)
 
 
-def test_biased_mf_recommends_by_prediction(low_rank):
+def test_residual_mf_recommends_by_prediction(low_rank):
     train, test = low_rank
-    model = als.biased_mf_fit(train, n_factors=3, n_epochs=5)
+    model = als.residual_mf_fit(train, n_factors=3, n_epochs=5)
     users = test.select("userId").distinct().where("userId < 20")
     got = model.recommend_unseen(train, users, k=5).cache()
     assert {r["count"] for r in got.groupBy("userId").count().collect()} == {5}
@@ -95,7 +95,7 @@ def test_cold_pairs(spark, low_rank):
     assert got[9999, 9999] == pytest.approx(mean)
     assert got[0, 9999] == pytest.approx(mean + b_u[0])
     assert got[9999, 0] == pytest.approx(mean + b_i[0])
-    full = als.biased_mf_fit(train, n_factors=2, n_epochs=1).predict(pairs)
+    full = als.residual_mf_fit(train, n_factors=2, n_epochs=1).predict(pairs)
     assert {(r.userId, r.movieId): r.prediction for r in full.collect()}[9999, 9999] == pytest.approx(mean)
 
 
@@ -140,13 +140,32 @@ def test_user_knn(spark, block_users, heavy_rows):
     assert [r[3] for r in found] == pytest.approx([r[3] for r in want])
 
 
-def test_user_knn_in_small_chunks(spark, monkeypatch):
+def test_user_knn_in_slices_and_small_chunks(spark, monkeypatch):
+    """Blocks cut by partner, and an item's raters in several chunks."""
     rows, df = random_ratings(spark, 40, 20, 400)
+    monkeypatch.setattr(user_knn, "CHUNK_RATERS", 3)
+    got = user_knn.user_knn_similarity(df, n=6, block_users=7, task_raters=40)
+    want = brute_neighbours(rows, 6)
+    found = rows_of(got, "userId", "pos", "neighbourId", "similarity")
+    assert [r[:3] for r in found] == [r[:3] for r in want] and [r[3] for r in found] == pytest.approx([r[3] for r in want])
+
+
+def test_products_in_runs_of_users(spark, monkeypatch):
+    _, df = random_ratings(spark, 40, 20, 400)
     pdf = df.toPandas()
-    users = pdf.groupby("userId").agg(movies=("movieId", list), ratings=("rating", list)).reset_index()
-    whole = user_knn._block_dot(users, users)
+    own, raters = pdf.sort_values(["userId", "movieId"]), pdf.sort_values(["movieId", "userId"])
+    triples = lambda: sorted(t for a, b, x in user_knn._products(own, raters) for t in zip(a.tolist(), b.tolist(), x.tolist()))
+    whole = triples()
     monkeypatch.setattr(user_knn, "CHUNK_PRODUCTS", 5)
-    assert (user_knn._block_dot(users, users) == whole).all()
+    assert triples() == whole and len(list(user_knn._products(own, raters))) > 10
+
+
+def test_neighbours_move_no_more_than_co_rated_pairs(spark):
+    """Rows that are shuffled to find neighbours, beside pairs of raters of an item, on two sizes."""
+    for users, items, n in ((200, 400, 1500), (800, 400, 6000)):
+        _, df = random_ratings(spark, users, items, n)
+        pairs = df.groupBy("movieId").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0]
+        assert user_knn.meetings(df, 16).where("not own").count() <= pairs
 
 
 def test_user_knn_fallbacks(spark):
@@ -173,9 +192,9 @@ def test_multi_seed(spark, low_rank):
 
 def test_blocks_follow_the_rows_alone(spark, low_rank, monkeypatch):
     train, _ = low_rank
-    monkeypatch.setattr(als, "BLOCK_ROWS", 100)
-    n = train.count()
-    assert als.als_blocks(train) == als.als_blocks(train.repartition(2)) == als.als_blocks(train.repartition(16)) == -(-n // 100)
+    monkeypatch.setattr(als, "BLOCK_WORK", 10_000)
+    blocks = als.als_blocks(train, 2)
+    assert blocks > 1 and blocks == als.als_blocks(train.repartition(2), 2) == als.als_blocks(train.repartition(16), 2) < als.als_blocks(train, 4)
     factors = [
         {r.id: tuple(r.features) for r in als.als_fit(part, rank=2, max_iter=1).userFactors.collect()}
         for part in (train, train.repartition(3))
