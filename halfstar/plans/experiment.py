@@ -14,7 +14,7 @@ from halfstar.plans.report import report_document, report_text
 from halfstar.plans.runs import agg_runs_pop_std, multi_seed_als, multi_seed_biased_mf, with_num_cores
 from halfstar.sources.readers import Dataset
 from halfstar.sources.schemas import RATINGS, RUNS
-from halfstar.sources.writers import append_runs, materialise, write_csv, write_split, write_text
+from halfstar.sources.writers import append_runs, materialise, read_runs, write_csv, write_split, write_text
 
 
 def run_experiment(
@@ -46,7 +46,7 @@ def run_experiment(
     _, als_runs = multi_seed_als(train, test, n_runs, **labels, **(als or {}))
     append_runs(svd_runs.unionByName(als_runs), f"{out}/run_log")
 
-    log = spark.read.schema(RUNS).parquet(f"{out}/run_log").where(F.col("experiment") == labels["experiment"])
+    log = read_runs(spark, f"{out}/run_log", RUNS).where(F.col("experiment") == labels["experiment"])
     results = with_speedups(materialise(with_num_cores(agg_runs_pop_std(log)), "results"))
     write_csv(results, f"{out}/results", single_file=True)
     write_text(report_document(results, *data, description=description), f"{out}/document")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from halfstar.sources import schemas
+from halfstar.sources.writers import materialise
 
 
 class Dataset(NamedTuple):
@@ -30,9 +34,57 @@ def scan_table(spark: SparkSession, folder: str, name: str, fmt: str = "csv") ->
     return reader.format(fmt).load(f"{folder.rstrip('/')}/{name}.{fmt}")
 
 
-def load_dataset(spark: SparkSession, folder: str, fmt: str = "csv") -> Dataset:
-    """Load all four tables, or raise one clear error if any is missing."""
+class BadLines(ValueError):
+    """More lines of a table can't be read than allowed."""
+
+
+class Checked(NamedTuple):
+    rows: DataFrame
+    rejects: DataFrame  # (line, reason, file)
+    n_rows: int
+    n_rejects: int
+
+
+def scan_checked(spark: SparkSession, folder: str, name: str, max_bad: float = 0.0) -> Checked:
+    """Scan ``<folder>/<name>.csv`` and account for every line: the good rows, and the lines that can't be rows.
+
+    A line is rejected if it has too few or too many fields or one that isn't of its
+    column's type (``malformed``), or no id, or no rating where the table has one
+    (``incomplete``). The file is read once: good rows and rejects are written side by
+    side to the scratch folder, and counted while they are. If more than a share of
+    ``max_bad`` of the lines is rejected, :class:`BadLines` tells how many and shows one.
+    """
+    schema = schemas.TABLES[name]
+    asked = T.StructType([*schema.fields, T.StructField("_line", T.StringType())])
+    path = f"{folder.rstrip('/')}/{name}.csv"
+    reader = spark.read.schema(asked).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line")
+    needed = [c for c in ("userId", "movieId", "rating") if c in schema.names]
+    incomplete = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in needed])
+    reason = F.when(F.col("_line").isNotNull(), "malformed").when(incomplete, "incomplete")
+    held = F.when(F.col("_line").isNotNull(), F.col("_line")).otherwise(F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in schema.names]))
+    lines = reader.csv(path).withColumns({"reason": reason, "file": F.input_file_name()})
+    lines = lines.withColumns({"_line": F.when(reason.isNotNull(), held), "bad": reason.isNotNull()})
+    counts = Observation(f"lines of {name}")
+    lines = lines.observe(counts, F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("bad"))
+    stored = materialise(lines, f"checked-{name}", "bad")
+    n, bad = counts.get["n"] or 0, counts.get["bad"] or 0
+    rejects = stored.where("bad").select(F.col("_line").alias("line"), "reason", "file")
+    if bad > max_bad * n:
+        example = rejects.first()
+        raise BadLines(f"{bad} of {n} lines of {path} can't be read, for example ({example.reason}): {example.line}")
+    return Checked(stored.where("not bad").select(*schema.names), rejects, n - bad, bad)
+
+
+def load_dataset(spark: SparkSession, folder: str, fmt: str = "csv", max_bad: float | None = None) -> Dataset:
+    """Load all four tables, or raise one clear error if any is missing.
+
+    With ``max_bad``, CSV lines are checked (:func:`scan_checked`): up to that share of
+    a table's lines may be unreadable and is left out, more is an error. Without it,
+    fields that can't be read are null.
+    """
     try:
+        if max_bad is not None and fmt == "csv":
+            return Dataset(*(scan_checked(spark, folder, name, max_bad).rows for name in Dataset._fields))
         return Dataset(*(scan_table(spark, folder, name, fmt) for name in Dataset._fields))
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
@@ -58,12 +110,44 @@ def latest_ratings(ratings: DataFrame, *recency: str) -> DataFrame:
     """One rating per (user, item): the latest by ``recency``, most significant first.
 
     An aggregate, not a window, so copies of a hot pair are reduced before the
-    shuffle.
+    shuffle. Structs are compared by sorting; :func:`latest_packed` hashes.
     """
     last = F.max(F.struct(*recency, "rating")).alias("last")
     return ratings.groupBy("userId", "movieId").agg(last).select("userId", "movieId", "last.rating", "last.timestamp")
 
 
+def _whole(name: str, digits: int) -> Column:
+    """The column as a whole number of at most so many digits; anything else is an error, null is null."""
+    number = F.col(name).cast("long")
+    fits = number.isNull() | number.between(0, min(10**digits, 2**63) - 1)
+    return F.when(fits, number).otherwise(F.raise_error(F.concat(F.lit(f"{name} is negative or has over {digits} digits: "), number.cast("string"))))
+
+
+def latest_packed(ratings: DataFrame, recency: dict[str, int]) -> DataFrame:
+    """One rating per (user, item): the latest by timestamp, then by ``recency``, then the highest.
+
+    ``recency`` names columns of whole numbers, most significant first, with the
+    decimal digits each may have. With the timestamp (10 digits) and the rating in
+    half stars (2) they make one number of up to 38 digits, so the table is reduced
+    by a hash aggregate, before and after its one shuffle, where a struct would be
+    sorted. Rows with a null in any of them are left out.
+    """
+    widths = {"timestamp": 10, **recency}
+    if sum(widths.values()) + 2 > 38:
+        raise ValueError(f"{sum(widths.values()) + 2} digits don't fit into a number of 38")
+    number = lambda c: c.cast("decimal(38,0)")
+    power = lambda digits: number(F.lit(Decimal(10) ** digits))
+    key = number(F.lit(0))
+    for name, digits in widths.items():
+        key = number(key * power(digits) + number(_whole(name, digits)))
+    key = number(key * 100 + number(F.round(F.col("rating") * 2)))
+    last = ratings.select("userId", "movieId", key.alias("key")).where("key is not null").groupBy("userId", "movieId").agg(F.max("key").alias("key"))
+    return last.select(
+        "userId", "movieId", (F.pmod("key", number(F.lit(100))).cast("double") / 2).alias("rating"),
+        F.call_function("div", F.col("key"), power(sum(recency.values()) + 2)).cast("long").alias("timestamp"),
+    )
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """Re-read a results CSV; its columns depend on the models, so types are inferred."""
     return spark.read.option("header", True).option("inferSchema", True).csv(path)

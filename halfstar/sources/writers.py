@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StringType, StructField, StructType
 
 from halfstar.session import scratch_path
 
@@ -30,9 +35,62 @@ def write_text(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").text(path)
 
 
-def append_runs(runs: DataFrame, path: str) -> None:
-    """Append runs to a parquet run log."""
-    runs.write.mode("append").parquet(path)
+_COMMIT = "batch string, attempt string"
+
+
+def _commit_path(path: str, batch: str) -> str:
+    return f"{path}/commits/{hashlib.sha256(batch.encode()).hexdigest()}"
+
+
+def append_runs(runs: DataFrame, path: str, batch: str | None = None) -> bool:
+    """Append runs to a parquet run log, at most once per ``batch``; false if that batch is there already.
+
+    The runs are written as an attempt of their own, which readers don't see until a
+    commit names it. An append that was killed, before or after its commit, can be
+    repeated with the same ``batch``: the runs are in the log once. Without ``batch``
+    every call appends. Two writers of one batch at the same moment are not kept apart.
+    """
+    spark, batch, attempt = runs.sparkSession, batch or uuid.uuid4().hex, uuid.uuid4().hex
+    if batch_committed(spark, path, batch):
+        return False
+    runs.write.parquet(f"{path}/attempts/attempt={attempt}")
+    commit = spark.createDataFrame([(batch, attempt)], _COMMIT).coalesce(1)
+    # A commit whose writer was killed is an empty folder, to be written again.
+    commit.write.mode("overwrite").parquet(_commit_path(path, batch))
+    return True
+
+
+def batch_committed(spark: SparkSession, path: str, batch: str) -> bool:
+    try:
+        return not spark.read.schema(_COMMIT).parquet(_commit_path(path, batch)).isEmpty()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+
+
+def read_runs(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The committed runs of a run log; attempts without a commit are no part of it."""
+    commits = spark.read.schema(_COMMIT).option("recursiveFileLookup", True).parquet(f"{path}/commits").select("attempt").distinct()
+    attempts = spark.read.schema(StructType([*schema.fields, StructField("attempt", StringType())])).parquet(f"{path}/attempts")
+    return attempts.join(commits, "attempt", "left_semi").select(*schema.names)
+
+
+def store_split(train: DataFrame, test: DataFrame, buckets: int = 200, name: str = "split") -> tuple[DataFrame, DataFrame]:
+    """Both halves stored in ``buckets`` by user, each sorted by user, as tables of the session's catalogue.
+
+    Windows, aggregates and joins by user on them need no shuffle. The files are in
+    the scratch folder. A user's ratings are in one bucket, so buckets are as uneven
+    as users are. Joins on user and item go without a shuffle of these halves only if
+    ``spark.sql.requireAllClusterKeysForCoPartition`` is false.
+    """
+    spark, stamp, stored = train.sparkSession, uuid.uuid4().hex, []
+    for half, df in (("train", train), ("test", test)):
+        table = f"{name}_{half}_{stamp}"
+        writer = df.repartition(buckets, "userId").write.format("parquet").option("path", scratch_path(spark, table))
+        writer.bucketBy(buckets, "userId").sortBy("userId").saveAsTable(table)
+        stored.append(spark.table(table))
+    return stored[0], stored[1]
 
 
 def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:

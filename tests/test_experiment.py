@@ -2,6 +2,8 @@ import json
 
 from halfstar.plans.experiment import run_experiment
 from halfstar.sources.readers import Dataset, read_results
+from halfstar.sources.schemas import RUNS
+from halfstar.sources.writers import read_runs
 from tests.fixtures import planted
 
 
@@ -26,11 +28,11 @@ def test_experiment(spark, tmp_path):
     assert any(line.startswith("Greatest training speed-up: ") for line in report)
     models = document["experiment_configuration"]["models"]
     assert [m["model"] for m in models] == ["ALS", "SVD"] and models[0]["rank"] == 2 and models[1]["n_factors"] == 2
-    assert spark.read.parquet(f"{out}/run_log").count() == 4
-    log = spark.read.parquet(f"{out}/run_log")
-    assert log.where("n_users is null or seed is null or blocks is null").isEmpty()
+    log = read_runs(spark, f"{out}/run_log", RUNS)
+    assert log.count() == 4 and log.where("n_users is null or seed is null").isEmpty()
+    assert log.where("model = 'ALS' and blocks is null").isEmpty()
 
     # A second experiment in the same log leaves the first one's rows alone.
     again = run_experiment(Dataset(ratings, movies, tags, links), out, n_runs=1, als={"rank": 3, "max_iter": 1}, svd={"n_factors": 2, "n_epochs": 1})
     assert {(r.model, r.n_runs) for r in again.collect()} == {("SVD", 1), ("ALS", 1)}
-    assert spark.read.parquet(f"{out}/run_log").count() == 6
+    assert read_runs(spark, f"{out}/run_log", RUNS).count() == 6

@@ -1,3 +1,5 @@
+import os
+import random
 from types import SimpleNamespace
 
 import pytest
@@ -60,7 +62,78 @@ def test_sinks(spark, tmp_path):
     assert readers.read_results(spark, str(tmp_path / "one")).schema["rating"].dataType.simpleString() == "double"
     for _ in range(2):
         writers.append_runs(df, str(tmp_path / "log"))
-    assert spark.read.parquet(str(tmp_path / "log")).count() == 4
+    assert writers.read_runs(spark, str(tmp_path / "log"), df.schema).count() == 4
+
+
+def test_appends_can_be_repeated(spark, tmp_path):
+    path = str(tmp_path / "log")
+    df = ratings(spark, [(1, 2, 3.5, 4), (2, 3, 1.0, 5)])
+    assert writers.append_runs(df, path, "first") and not writers.append_runs(df, path, "first")
+    # Killed while writing runs: an attempt without a commit.
+    df.write.parquet(f"{path}/attempts/attempt=killed")
+    assert writers.read_runs(spark, path, df.schema).count() == 2
+    # Killed while committing: a commit without rows.
+    os.makedirs(writers._commit_path(path, "second") + "/_temporary/0")
+    assert not writers.batch_committed(spark, path, "second")
+    assert writers.append_runs(df, path, "second") and not writers.append_runs(df, path, "second")
+    again = writers.read_runs(spark, path, df.schema)
+    assert again.columns == df.columns and rows_of(again, "userId") == [(1,), (1,), (2,), (2,)]
+
+
+def test_stored_halves_need_no_shuffle(spark, halves):
+    from halfstar.operators import evaluate, profile, recommend
+
+    train, test = writers.store_split(*halves, buckets=4)
+    assert rows_of(train, *train.columns) == rows_of(halves[0], *train.columns)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    moved = "Exchange hashpartitioning"
+    keep = {key: spark.conf.get(key) for key in ("spark.sql.requireAllClusterKeysForCoPartition", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for key, value in zip(keep, ("false", "-1")):
+            spark.conf.set(key, value)
+        per_user = train.groupBy("userId").count().join(test.groupBy("userId").count(), "userId", "left")
+        lists = recommend.topk_per_user(train)
+        for df in (profile.user_activity(train), lists, per_user, evaluate.join_user_truth(lists, test)):
+            assert moved not in plan(df) and "Bucketed: true" in plan(df)
+        assert moved in plan(recommend.topk_per_user(halves[0]))
+        stored, plain = (evaluate.ranking_report(recommend.topk_per_user(a), b).first() for a, b in ((train, test), halves))
+        assert stored == plain
+    finally:
+        for key, value in keep.items():
+            spark.conf.set(key, value)
+
+
+def test_every_line_is_accounted_for(spark, tmp_path):
+    os.makedirs(tmp_path / "d")
+    lines = ["userId,movieId,rating,timestamp", "1,2,3.5,4", "1,x,3.5,4", "1,2", "1,2,3.5,4,5", ",2,3.5,4", "2,3,,5", "3,4,1.0,", "", '"4",5,2.0,6', "5,6,good,7"]
+    (tmp_path / "d/ratings.csv").write_text("\n".join(lines) + "\n")
+    got = readers.scan_checked(spark, str(tmp_path / "d"), "ratings", max_bad=0.9)
+    assert rows_of(got.rows, "userId", "movieId", "rating") == [(1, 2, 3.5), (3, 4, 1.0), (4, 5, 2.0)]
+    rejects = sorted((r.reason, r.line) for r in got.rejects.collect())
+    assert [r for r, _ in rejects] == ["incomplete"] * 2 + ["malformed"] * 4
+    assert {x for r, x in rejects if r == "malformed"} == {"1,x,3.5,4", "1,2", "1,2,3.5,4,5", "5,6,good,7"}
+    assert all(r.file.endswith("ratings.csv") for r in got.rejects.collect())
+    assert (got.n_rows, got.n_rejects) == (3, 6)
+    with pytest.raises(readers.BadLines, match="6 of 9 lines"):
+        readers.scan_checked(spark, str(tmp_path / "d"), "ratings", max_bad=0.5)
+    (tmp_path / "d/ratings.csv").write_text(lines[0] + "\n")
+    none = readers.scan_checked(spark, str(tmp_path / "d"), "ratings")
+    assert none.rows.isEmpty() and (none.n_rows, none.n_rejects) == (0, 0)
+
+
+def test_packed_latest_is_the_latest(spark):
+    rng = random.Random(5)
+    rows = [(rng.randrange(5), rng.randrange(4), rng.randrange(1, 11) / 2, rng.randrange(3), rng.randrange(3), rng.randrange(2)) for _ in range(400)]
+    rows += [(9, 9, 5.0, 4_102_444_800, 10**17, 7), (9, 9, 0.5, 4_102_444_800, 10**17 - 1, 9)]
+    df = spark.createDataFrame(rows, "userId int, movieId int, rating double, timestamp long, o long, l int")
+    got = readers.latest_packed(df, {"o": 18, "l": 5})
+    assert rows_of(got, *got.columns) == rows_of(readers.latest_ratings(df.withColumn("r", F.col("rating")), "timestamp", "o", "l", "r"), "userId", "movieId", "rating", "timestamp")
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in text and "SortAggregate" not in text and "Sort [" not in text
+    with pytest.raises(Exception, match="o is negative or has over 3 digits"):
+        readers.latest_packed(df, {"o": 3, "l": 5}).collect()
+    with pytest.raises(ValueError, match="digits"):
+        readers.latest_packed(df, {"o": 18, "l": 18})
 
 
 def test_scratch_follows_the_session(spark, tmp_path):

@@ -61,6 +61,7 @@ select userId, cast(pos as int) as pos, movieId, popularity_score from (
   from test_users u cross join pop p
   where not exists (select 1 from train t where t.userId = u.userId and t.movieId = p.movieId))
 where pos <= 10""",
+    "some_train": "select * from train order by md5(concat_ws('-', '42', userId, movieId)), userId, movieId limit 5000",
     "n_rel": "select userId, count(*) as n_relevant from relevant group by userId",
     "judged": """
 select r.userId, r.pos, r.movieId, r.popularity_score, n.n_relevant, t.movieId is not null as relevant
@@ -150,7 +151,7 @@ from normal group by label""",
 
 # What each table reads, directly.
 _NEEDS = {
-    "labelled": ["ratings"], "train": ["labelled"], "test": ["labelled"], "relevant": ["test"], "pop": ["train"],
+    "labelled": ["ratings"], "train": ["labelled"], "test": ["labelled"], "relevant": ["test"], "some_train": ["train"], "pop": ["train"],
     "test_users": ["test"], "recs": ["test_users", "pop", "train"], "n_rel": ["relevant"],
     "judged": ["recs", "n_rel", "relevant"], "idcg": [], "per_user": ["judged", "idcg"],
     "mu": ["train"], "item_bias": ["train", "mu"], "user_bias": ["train", "item_bias", "mu"],

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from halfstar.plans import compare
-from halfstar.plans import report
+from halfstar.plans import compare, experiment, report
 from halfstar.session import scratch_path
-from halfstar.sources.writers import append_runs
+from halfstar.sources import schemas
+from halfstar.sources.readers import Dataset
+from halfstar.sources.writers import append_runs, read_runs
 from workload import tables as t
 from workload.cte import sql
 from workload.registry import query, rounded
@@ -15,11 +16,14 @@ from workload.registry import query, rounded
 
 @query("run_log", sql("select * from runs", "runs"))
 def run_log(spark, folder):
+    """Two batches, the second one appended twice and a third one killed before its commit: the log holds two."""
     path = scratch_path(spark, "run-log")
     log = t.runs(spark, folder)
-    append_runs(log.where("model = 'SVD'"), path)
-    append_runs(log.where("model = 'ALS'"), path)
-    return spark.read.schema(log.schema).parquet(path)
+    append_runs(log.where("model = 'SVD'"), path, "svd")
+    for _ in range(2):
+        append_runs(log.where("model = 'ALS'"), path, "als")
+    log.write.parquet(f"{path}/attempts/attempt=killed")
+    return read_runs(spark, path, log.schema)
 
 
 def _speedup_query(column: str) -> None:
@@ -198,3 +202,24 @@ def report_document(spark, folder):
 def report_document_json(spark, folder):
     named = {name: getattr(t, name)(spark, folder) for name in ("ratings", "movies", "tags", "links")}
     return report.report_document(t.fast_results(spark, folder), **named)
+
+
+@query(
+    "run_experiment",
+    sql("""
+select m.model, 3::bigint as n_runs, (select count(*) from some_train)::bigint as n_train, u.n as n_users, true as plausible
+from (select unnest(['ALS', 'SVD']) as model) m,
+     (select count(distinct t.userId) as n from test t
+      where rating >= 4.0 and t.userId in (select userId from (select distinct userId from test where userId in (select userId from some_train))
+                                           order by md5(concat_ws('-', '42', userId)), userId limit 500)) u""", "test", "some_train"),
+)
+def run_experiment(spark, folder):
+    """The whole experiment with its usual settings: 5,000 sampled ratings, 500 ranking users, three runs of each model, all reports."""
+    data = Dataset(t.ratings(spark, folder), t.movies(spark, folder), t.tags(spark, folder), t.links(spark, folder))
+    out = scratch_path(spark, "experiment")
+    results = experiment.run_experiment(data, out, ranking_users=500, sample=5000)
+    log = read_runs(spark, f"{out}/run_log", schemas.RUNS)
+    users = log.groupBy("model").agg(F.max("n_users").alias("n_users"))
+    n_train = spark.read.parquet(f"{out}/split/train").agg(F.count(F.lit(1))).scalar()
+    sane = F.col("rmse").between(0.1, 4.5) & (F.col("mae") <= F.col("rmse")) & (F.col("train_time") > 0)
+    return results.join(users, "model").select("model", "n_runs", n_train.alias("n_train"), "n_users", sane.alias("plausible"))

@@ -8,11 +8,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from halfstar.functions.scalars import clip_rating
-from halfstar.models import als, bias, item_mean, popularity, user_knn
-from halfstar.operators import evaluate
+from halfstar.models import als, bias, item_mean, popularity, sgd, user_knn
+from halfstar.operators import evaluate, factors
 from halfstar.operators.sampling import sample_users_fraction
 from halfstar.plans.runs import multi_seed_als, multi_seed_biased_mf
 from halfstar.sources.schemas import RANKING_METRICS
+from halfstar.sources.writers import materialise
 from workload import tables as t
 from workload.cte import sql
 from workload.registry import query, rounded
@@ -40,7 +41,7 @@ where userId in (select userId from train) and movieId in (select movieId from t
 
 
 def _flag_dot_products(model, predicted):
-    joined = als.factor_predict(model.userFactors, model.itemFactors, predicted)
+    joined = factors.factor_predict(model.userFactors, model.itemFactors, predicted)
     is_dot = F.abs(F.col("dot") - F.col("prediction")) < 1e-4
     return joined.select("userId", "movieId", "rating", is_dot.alias("is_dot_product"))
 
@@ -51,23 +52,39 @@ def als_predict(spark, folder):
     return _flag_dot_products(model, als.als_predict(model, test.select("userId", "movieId", "rating")))
 
 
-def _list_facts(recs, user_factors, item_factors, train):
-    """Per user: length of the list, and whether its places are dense, its scores sorted and dot products, its items new."""
-    scored = als.factor_predict(user_factors, item_factors, recs)
+def _list_facts(recs, user_factors, item_factors, train, unseen=True):
+    """Per user: length of the list, and whether its places are dense, its scores sorted and dot products, its items new.
+
+    ``best``: no item that was left out, but for seen ones, scores above the last place. All
+    pairs are scored for it, apart from the search that made the list.
+    """
+    recs = materialise(recs, "recs")
+    scored = factors.factor_predict(user_factors, item_factors, recs)
     seen = train.select("userId", "movieId").withColumn("seen", F.lit(True))
     before = F.lag("score").over(Window.partitionBy("userId").orderBy("pos"))
     rows = scored.join(seen, ["userId", "movieId"], "left").withColumn("before", before)
-    return rows.groupBy("userId").agg(
+    bounds = recs.groupBy("userId").agg((F.min("score") + 1e-6).alias("bound"))
+    above = factors.count_above(user_factors.join(bounds.withColumnRenamed("userId", "id"), "id"), item_factors)
+    over = lambda pairs, score: pairs.join(bounds, "userId").where(F.col(score) > F.col("bound")).groupBy("userId").count()
+    known = over(recs, "score")
+    if unseen:
+        rated = train.select("userId", "movieId").join(bounds.select("userId"), "userId", "left_semi")
+        known = known.unionAll(over(factors.factor_predict(user_factors, item_factors, rated), "dot"))
+    known = known.groupBy("userId").agg(F.sum("count").alias("known"))
+    best = above.select(F.col("id").alias("userId"), "above").join(known, "userId", "left")
+    best = best.select("userId", (F.col("above") == F.coalesce("known", F.lit(0))).alias("best"))
+    facts = rows.groupBy("userId").agg(
         F.count(F.lit(1)).alias("n"),
         ((F.max("pos") == F.count(F.lit(1))) & (F.count_distinct("movieId") == F.count(F.lit(1)))).alias("dense"),
         F.every(F.coalesce(F.col("before") >= F.col("score") - 1e-6, F.lit(True))).alias("sorted"),
         F.every(F.abs(F.col("dot") - F.col("score")) < 1e-3).alias("is_dot_product"),
         (F.count("seen") == 0).alias("all_unseen"),
     )
+    return facts.join(best, "userId")
 
 
 _LISTS = """
-select u.userId, least(10, i.n{less}) as n, true as dense, true as sorted, true as is_dot_product{unseen}
+select u.userId, least(10, i.n{less}) as n, true as dense, true as sorted, true as is_dot_product, true as best{unseen}
 from ({users}) u cross join (select count(distinct movieId) as n from train) i{seen}"""
 _SEEN = " join (select userId, count(*) as n from train group by userId) s on s.userId = u.userId"
 _NEW_LISTS = _LISTS.format(less=" - s.n", unseen=", true as all_unseen", users="select userId from test_users", seen=_SEEN)
@@ -78,13 +95,13 @@ select userId from test_users where substr(md5(concat_ws('-', '42', userId)), 1,
 def als_recommend_subset(spark, folder):
     train, test, model = _fitted_als(spark, folder)
     recs = als.als_recommend_subset(model, sample_users_fraction(test, 0.25), 10)
-    return _list_facts(recs, model.userFactors, model.itemFactors, train).drop("all_unseen")
+    return _list_facts(recs, model.userFactors, model.itemFactors, train, unseen=False).drop("all_unseen")
 
 
 @query("als_recommend_all", sql(_LISTS.format(less="", unseen="", seen="", users="select distinct userId from train"), "train"))
 def als_recommend_all(spark, folder):
     train, _, model = _fitted_als(spark, folder)
-    return _list_facts(als.als_recommend_all(model, 10), model.userFactors, model.itemFactors, train).drop("all_unseen")
+    return _list_facts(als.als_recommend_all(model, 10), model.userFactors, model.itemFactors, train, unseen=False).drop("all_unseen")
 
 
 @query("als_recommend_unseen", sql(_NEW_LISTS, "train", "test_users"))
@@ -118,21 +135,68 @@ def bias_baseline(spark, folder):
     return rounded(bias.bias_table(bias.fit_bias(t.split(spark, folder)[0])), "bias")
 
 
+@query(
+    "als_topk_report",
+    sql("""
+select u.n as n_users, i.n as n_items, u.n * i.n as possible, true as no_more_than_all, true as exact
+from (select count(distinct userId) as n from train) u, (select count(distinct movieId) as n from train) i""", "train"),
+)
+def als_topk_report(spark, folder):
+    """How many pairs the search for the best items of all users scored: never more than all, and the lists are the best."""
+    train, _, model = _fitted_als(spark, folder)
+    top = factors.exact_topk(model.userFactors, model.itemFactors, 10)
+    facts = _list_facts(top.recs, model.userFactors, model.itemFactors, train, unseen=False)
+    counts = facts.agg(F.count(F.lit(1)).alias("n_users"), F.every("best").alias("exact"))
+    items = model.itemFactors.agg(F.count(F.lit(1)).alias("n_items")).scalar()
+    possible = F.lit(top.possible).cast("long")
+    return counts.select("n_users", items.alias("n_items"), possible.alias("possible"), (F.lit(top.scored) <= possible).alias("no_more_than_all"), "exact")
+
+
 def _fitted_biased_mf(spark, folder):
-    return *t.split(spark, folder), t.fitted(spark, folder, "biased mf", als.biased_mf_fit)
+    return *t.split(spark, folder), t.fitted(spark, folder, "biased mf", sgd.sgd_fit)
 
 
 @query("biased_mf", sql("select userId, movieId, rating, true as is_sum from test", "test"))
 def biased_mf(spark, folder):
-    """Every test pair, and whether its prediction is the clipped sum of biases and dot product."""
+    """Every test pair, and whether its prediction is the clipped sum of mean, biases and dot product."""
     _, test, model = _fitted_biased_mf(spark, folder)
     predicted = model.predict(test.select("userId", "movieId", "rating"))
-    known = als.factor_predict(model.residual.userFactors, model.residual.itemFactors, predicted).select("userId", "movieId", "dot")
-    base = model.bias.with_biases(predicted).join(known, ["userId", "movieId"], "left")
-    total = clip_rating(F.col("base") + F.coalesce("dot", F.lit(0.0)))
+    users = model.users.select(F.col("id").alias("userId"), F.col("bias").alias("bu"))
+    items = model.items.select(F.col("id").alias("movieId"), F.col("bias").alias("bi"))
+    known = factors.factor_predict(model.users, model.items, predicted).select("userId", "movieId", "dot")
+    base = predicted.join(users, "userId", "left").join(items, "movieId", "left").join(known, ["userId", "movieId"], "left")
+    none = F.lit(0.0)
+    total = clip_rating(F.lit(model.mean) + F.coalesce("bu", none) + F.coalesce("bi", none) + F.coalesce("dot", none))
     return base.select("userId", "movieId", "rating", (F.abs(total - F.col("prediction")) < 1e-6).alias("is_sum"))
 
 
+# A rating that comes first of its user's and of its item's by a hash: no two of these share a user or an item.
+_FIRST = """
+select userId, movieId, rating, true as is_update
+from (select *, row_number() over (partition by userId order by h, movieId) as a, row_number() over (partition by movieId order by h, userId) as b
+      from (select *, (userId::bigint * 7919 + movieId::bigint * 104729) % 1000003 as h from train)) where a = 1 and b = 1"""
+
+
+@query("biased_mf_update", sql(_FIRST, "train"))
+def biased_mf_update(spark, folder):
+    """One more epoch over ratings without common users or items: whether each moves its biases and factors as its gradient says."""
+    train, _, model = _fitted_biased_mf(spark, folder)
+    h = (F.col("userId").cast("long") * 7919 + F.col("movieId").cast("long") * 104729) % 1000003
+    rows = train.select("userId", "movieId", "rating", h.alias("h"))
+    first = lambda key, other: rows.groupBy(key).agg(F.min(F.col("h") * 2**40 + F.col(other)).alias(f"first_{key}"))
+    some = rows.join(first("userId", "movieId"), "userId").join(first("movieId", "userId"), "movieId")
+    some = some.where((F.col("h") * 2**40 + F.col("movieId") == F.col("first_userId")) & (F.col("h") * 2**40 + F.col("userId") == F.col("first_movieId")))
+    some = materialise(some.select("userId", "movieId", "rating"), "first-ratings")
+    after = sgd.sgd_fit(some, n_epochs=1, start=model)
+    want = sgd.sgd_step(model, some, 0.005, 0.02)
+    users = after.users.select(F.col("id").alias("userId"), F.concat(F.array("bias"), "features").alias("u"))
+    items = after.items.select(F.col("id").alias("movieId"), F.concat(F.array("bias"), "features").alias("i"))
+    met = want.join(users, "userId").join(items, "movieId")
+    off = lambda a, b: F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x - y)))
+    is_update = (off("u", F.concat(F.array("user_bias"), "user_features")) < 1e-9) & (off("i", F.concat(F.array("item_bias"), "item_features")) < 1e-9)
+    return met.select("userId", "movieId", "rating", is_update.alias("is_update"))
+
+
 @query("biased_mf_recommend", sql(_NEW_LISTS, "train", "test_users"))
 def biased_mf_recommend(spark, folder):
     train, test, model = _fitted_biased_mf(spark, folder)
@@ -140,6 +204,18 @@ def biased_mf_recommend(spark, folder):
     return _list_facts(recs, *model.wide_factors(), train)
 
 
+@query(
+    "biased_mf_ranking_report",
+    sql("select count(distinct userId) as n_users, true as within_range from test where rating >= 4.0", "test"),
+)
+def biased_mf_ranking_report(spark, folder):
+    """The same report for biased matrix factorization."""
+    train, test, model = _fitted_biased_mf(spark, folder)
+    report = evaluate.ranking_report(model.recommend_unseen(train, t.test_users(test), 10), test)
+    metrics = [F.col(c).between(0, 1) for c in report.columns if c != "n_users"]
+    return report.select("n_users", reduce(lambda a, b: a & b, metrics).alias("within_range"))
+
+
 @query("mf_rank10", sql(_KNOWN, "train", "test"))
 def mf_rank10(spark, folder):
     _, test, model = _fitted_als(spark, folder, rank=10, max_iter=20)
@@ -235,11 +311,10 @@ def multi_seed_fit(spark, folder):
     return _run_facts(multi_seed_als(train, test, n_runs=3, users=t.test_users(test))[1])
 
 
-@query("multi_seed_biased_mf", sql(_RUNS.format(model="SVD", seed=43, n=2), "test"))
+@query("multi_seed_biased_mf", sql(_RUNS.format(model="SVD", seed=43, n=3), "test"))
 def multi_seed_biased(spark, folder):
     train, test = t.split(spark, folder)
-    fitted = multi_seed_biased_mf(train, test, n_runs=2, n_factors=10, n_epochs=5, users=t.test_users(test))
-    return _run_facts(fitted[1])
+    return _run_facts(multi_seed_biased_mf(train, test, users=t.test_users(test))[1])
 
 
 # --- metrics

@@ -59,6 +59,40 @@ def persist_split(spark, folder):
     return spark.createDataFrame(counts, "split string, n bigint")
 
 
+@query(
+    "scan_checked",
+    sql("""
+select case when movieId % 97 = 0 or userId % 89 = 0 then 'malformed' when userId % 83 = 0 then 'incomplete' else 'good' end as kind,
+       count(*) as n, sum(userId)::bigint as users from ratings group by 1""", "ratings"),
+)
+def scan_checked(spark, folder):
+    """Ratings written as lines of which some hold words for numbers or no rating, and scanned with an account of every line."""
+    text = lambda c: F.col(c).cast("string")
+    rating = F.when(F.col("movieId") % 97 == 0, "good").when(F.col("userId") % 83 == 0, None).otherwise(text("rating"))
+    moment = F.when(F.col("userId") % 89 == 0, "soon").otherwise(text("timestamp"))
+    path = scratch_path(spark, "lines")
+    writers.write_csv(t.ratings(spark, folder).select("userId", "movieId", rating.alias("rating"), moment.alias("timestamp")), f"{path}/ratings.csv")
+    got = readers.scan_checked(spark, path, "ratings", max_bad=1.0)
+    user = F.split("line", ",")[0].cast("int")
+    both = got.rows.select(F.lit("good").alias("kind"), "userId").unionAll(got.rejects.select("reason", user))
+    return both.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("userId").alias("users"))
+
+
+@query(
+    "stored_split",
+    sql("""
+select a.userId, a.n as n_train, b.n as n_test, round(a.s - b.s, 6) as difference
+from (select userId, count(*) as n, avg(rating) as s from train group by userId) a
+join (select userId, count(*) as n, avg(rating) as s from test group by userId) b using (userId)""", "train", "test"),
+)
+def stored_split(spark, folder):
+    """Both halves stored in buckets by user; counted and joined by user without a shuffle."""
+    train, test = writers.store_split(*t.split(spark, folder), buckets=16)
+    per_user = lambda df, name: df.groupBy("userId").agg(F.count(F.lit(1)).alias(f"n_{name}"), F.avg("rating").alias(f"mean_{name}"))
+    met = per_user(train, "train").join(per_user(test, "test"), "userId")
+    return met.select("userId", "n_train", "n_test", F.round(F.col("mean_train") - F.col("mean_test"), 6).alias("difference"))
+
+
 _BOTH_HALVES = """
 select 'train' as split, userId, movieId, rating, timestamp from {train}
 union all select 'test', userId, movieId, rating, timestamp from {test}"""
