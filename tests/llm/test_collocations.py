@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,37 +68,74 @@ def test_against_plain_counting(make_docs, least, top):
     assert got.count() >= 10
 
 
+def parsed(make_docs, rows):
+    held = docs(make_docs, rows).selectExpr("coalesce(lang, 'und') as lang", "text")
+    words, seed = collocations.vocabulary(held)
+    return collocations.dictionary(held, seed), words
+
+
 def test_all_counts_from_the_dictionary(make_docs):
     """Without a filter the parse gives every phrase's count, overlaps counted once."""
     rows = [("en", t) for _, t in texts()]
-    chunks = collocations.dictionary(docs(make_docs, rows))
+    chunks, words = parsed(make_docs, rows)
+    spelling = {r.hash: r.word for r in words.collect()}
     want = plain_counts([t for _, t in rows])
-    for n in range(1, 6):
-        got = {r.phrase: r.f for r in collocations.phrase_counts(chunks, n, None).collect()}
+    assert {r.word: r.f for r in words.collect()} == {p[0]: c for p, c in want.items() if len(p) == 1}
+    for n in range(2, 6):
+        got = {" ".join(spelling[h] for h in r.phrase): r.f for r in collocations.phrase_counts(chunks, n).collect()}
         assert got == {" ".join(p): c for p, c in want.items() if len(p) == n}
 
 
+def test_words_with_one_hash_are_noticed(make_docs, monkeypatch):
+    """Hashes that clash are drawn again."""
+    good = collocations.count_words
+
+    def clashing(batches, seed):
+        for batch in good(batches, seed):
+            if seed < 2 and batch.num_rows:
+                one = pa.array([h // 2**61 for h in batch.column("hash").to_pylist()], pa.int64())
+                batch = batch.set_column(batch.schema.get_field_index("hash"), "hash", one)
+            yield batch
+
+    monkeypatch.setattr(collocations, "count_words", clashing)
+    words, seed = collocations.vocabulary(docs(make_docs, texts()).selectExpr("coalesce(lang, 'und') as lang", "text"))
+    assert seed == 2 and words.groupBy("hash").agg(F.count_distinct("word").alias("n")).where("n > 1").isEmpty()
+
+
 def test_equal_passages_are_equal_chunks(make_docs):
     rng = random.Random(1)
     passage = " ".join(rng.choice("abcdefghijklmnop") + str(rng.randrange(50)) for _ in range(2000))
     rows = [("en", f"start {i} {passage} end {i}") for i in range(50)]
-    chunks = collocations.dictionary(docs(make_docs, rows)).collect()
-    assert sum(c.n == 50 for c in chunks) > 80 and len(chunks) < 80 + 50 * 6 + sum(c.n == 50 for c in chunks)
+    chunks = parsed(make_docs, rows)[0].collect()
+    shared = sum(c.n == 50 for c in chunks)
+    assert shared > 80 and len(chunks) < shared + 50 * 6
 
 
 def test_chunks_cover_pieces():
     rng = random.Random(2)
     for size in (0, 1, 3, 4, 5, 40, 9000):
-        for pool in (["x"], [str(i) for i in range(30)]):
-            raw = [rng.choice(pool).encode() for _ in range(size)] + [collocations.END] + [rng.choice(pool).encode() for _ in range(size // 2)]
-            words = collocations.Words(raw)
-            start, end = collocations.pieces_of(words)
-            a, b, follows = collocations.cut(words, start, end)
+        for pool in ([7], list(range(1, 31))):
+            line = np.array([rng.choice(pool) for _ in range(size + size // 2)], np.uint64)
+            edges = np.array(sorted({0, size, len(line)}))
+            start, end = edges[:-1], edges[1:]
+            a, b, follows = collocations.cut(collocations.mixed(line), start, end)
             owned = np.concatenate([np.arange(x, y - 4 if f else y) for x, y, f in zip(a, b, follows)]) if len(a) else np.zeros(0, int)
-            assert sorted(owned.tolist()) == [i for x, y in zip(start, end) for i in range(x, y)]
+            assert sorted(owned.tolist()) == list(range(len(line)))
             assert (b - a <= 2 * collocations.LONGEST_CHUNK + 8).all()
 
 
+def test_words_and_their_hashes():
+    text = b"one  two.one three..\xc3\xa9 one. two one two"
+    start, end, first, second, piece = collocations.words_of(text, 0)
+    words = [text[a:b] for a, b in zip(start, end)]
+    assert words == text.replace(b".", b" ").split() and piece.tolist() == [1, 1, 2, 2, 4, 4, 5, 5, 5]
+    for h in (first, second):
+        assert len(set(h.tolist())) == len(set(words)) == len(set(zip(words, h.tolist())))
+    code, at = collocations.grouped(np.array([5, 5, 6, 5], np.uint64), np.array([1, 2, 3, 1], np.uint64))
+    assert code[0] == code[3] != code[1] and len(at) == 3 and [int(code[i]) for i in at] == [0, 1, 2]
+    assert collocations.gathered(np.frombuffer(text, np.uint8), start, end).to_pylist() == words
+
+
 def test_hard_cases(hard_docs, no_docs):
     assert collocations.collocations(no_docs).count() == 0
     assert collocations.collocations(hard_docs.withColumn("text", F.lit(None).cast("string"))).count() == 0
@@ -107,9 +145,10 @@ def test_hard_cases(hard_docs, no_docs):
 
 def test_large_products(spark, make_docs, monkeypatch):
     """Counts whose products pass 64 bits."""
-    counts = {1: [("a", 5 * 10**9), ("b", 7 * 10**9)], 2: [("a b", 4 * 10**9)], 3: [], 4: [], 5: []}
-    fake = lambda chunks, n, bits: spark.createDataFrame([("en", p, f) for p, f in counts[n]], "lang string, phrase string, f long")
-    monkeypatch.setattr(collocations, "phrase_counts", fake)
+    words = spark.createDataFrame([("en", 9, "a", 1, 5 * 10**9), ("en", 9, "b", 2, 7 * 10**9)], "lang string, salt long, word string, hash long, f long")
+    phrases = [(9, [1], 5 * 10**9, 1), (9, [2], 7 * 10**9, 1), (9, [1, 2], 4 * 10**9, 2)]
+    found = spark.createDataFrame(phrases, "salt long, phrase array<long>, f long, k int")
+    monkeypatch.setattr(collocations, "frequent_phrases", lambda texts, least: (found, words))
     got = collocations.collocations(make_docs(rows_of(["a b"]))).collect()
     n = 12 * 10**9
     assert [tuple(r) for r in got] == [("en", 1, "a b", 4 * 10**9, 5 * 10**9, 7 * 10**9, n, 1000 * 4 * 10**9 * n // (35 * 10**18))]
