@@ -1,9 +1,7 @@
 import random
 from collections import Counter
-from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 
 from tests.llm.conftest import rows_of
 
@@ -75,11 +73,61 @@ def test_hard_cases(hard_docs, no_docs):
     assert len(stay) == len(set(stay)) == len({c for _, _, c, _, _ in brute(named)})
 
 
-def test_depth_meets_the_recall():
-    for recall in (0.9, 0.99, 0.9999):
-        d = jaccard.prefix_depth(0.8, recall)
-        assert 1 - (1 - 0.8**d) ** jaccard.TREES >= recall
-        assert d == jaccard.DEPTH or 1 - (1 - 0.8 ** (d + 1)) ** jaccard.TREES < recall
+def test_found_share_and_filter():
+    """Pairs of a similarity share a prefix as often as the formula says, and hardly any above the threshold is filtered out."""
+    rng = np.random.default_rng(5)
+    n, found, low = 400, {8: 0, 6: 0}, 0
+    for _ in range(n):
+        every = rng.integers(0, 2**63, 360, dtype=np.uint64)
+        a, b = np.unique(every[:324]), np.unique(every[36:])  # similarity 0.8
+        x, y = jaccard.labels_of(a), jaccard.labels_of(b)
+        for depth in found:
+            found[depth] += bool(((x ^ y) >> np.uint64(8 * (8 - depth)) == 0).any())
+        low += (x.view(np.uint8) == y.view(np.uint8)).sum() < jaccard.least_equal(0.8)
+    for depth, k in found.items():
+        assert abs(k / n - jaccard.found_share(np.array([0.8]), depth)[0]) < 0.03
+    assert low == 0 and jaccard.found_share(np.array([0.8]), jaccard.DEPTH)[0] > 0.98
+
+
+def test_prefixes_are_shortened_until_the_recall_is_met(make_docs, monkeypatch, tmp_path):
+    """Pairs just above the threshold make the search go on to shorter prefixes, exact copies and close pairs don't."""
+    rng, depths = random.Random(2), []
+    prefixes = jaccard.prefixes
+    monkeypatch.setattr(jaccard, "prefixes", lambda classes, depth: depths.append(depth) or prefixes(classes, depth))
+    close = [t for _ in range(40) for base in [[f"w{rng.randrange(10**6)}" for _ in range(300)]] for t in (" ".join(base), " ".join(base[:-1] + ["x"]))]
+    jaccard.similar_classes(make_docs(rows_of(close))).count()
+    assert depths == [8]
+    depths.clear()
+    far = []
+    for _ in range(60):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        far += [" ".join(base), " ".join(base[55:] + [f"y{rng.randrange(10**6)}" for _ in range(3)])]
+    rows = rows_of(far)
+    got = found(jaccard.similar_classes(make_docs(rows)))
+    assert depths[0] == 8 and 4 <= depths[-1] <= 7 and depths == sorted(depths, reverse=True)
+    assert sum(r[4] for r in got) >= 0.99 * sum(r[4] for r in brute(rows))
+
+
+def test_templates_are_not_verified(make_docs, monkeypatch):
+    """Pages with a common template, pairs at 0.3 to 0.45, hardly reach the verification."""
+    rng = random.Random(4)
+    template = [f"t{i}" for i in range(60)]
+    pages = [" ".join(template + [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(40, 60))]) for _ in range(600)]
+    classes = jaccard.sketches(make_docs(rows_of(pages)), "doc_id", "text").selectExpr("_id as _rep", "_labels")
+    least, seen = jaccard.least_equal(0.8), 0
+    for depth in (8, 6, 4):
+        rows = jaccard.dealt(jaccard.prefixes(classes, depth)).join(classes, "_rep").toPandas()
+        seen += sum(len(i) for _, task in rows.groupby("_task") for _, i, _ in jaccard.candidates(task, depth, least))
+    assert seen < len(pages)
+
+
+def test_ids_of_any_type_and_many_rows_without_one(make_docs):
+    rows = rows_of(variants(random.Random(1), 6, edits=2) * 2)
+    docs = make_docs(rows).selectExpr("concat('d', lpad(doc_id, 3, '0')) as doc_id", "text")
+    want = {f"d{i:03d}": f"d{c:03d}" for i, _, c, _, _ in brute(rows)}
+    assert {r.doc_id: r.class_id for r in jaccard.similar_classes(docs).collect()} == want
+    nobody = make_docs([(None, "", None, None, None, None, None, None)] * 3000)
+    assert jaccard.keep_one(nobody).count() == 3000
 
 
 def test_minima_estimate_similarity():
@@ -90,11 +138,11 @@ def test_minima_estimate_similarity():
 
 def test_counts_in_slabs(monkeypatch):
     monkeypatch.setattr(jaccard, "COLUMNS", 7)
-    sets = [set(range(i, i + 40)) for i in range(0, 30, 2)]
-    rows = pd.DataFrame({"_set": [np.array(sorted(s), np.uint64).tobytes() for s in sets]})
-    i, j = jaccard._count_block(rows, Fraction(4, 5))
-    want = {(a, b) for a in range(15) for b in range(a + 1, 15) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
-    assert set(zip(i.tolist(), j.tolist())) == want
+    sets = [np.array(range(i, i + 40), np.uint64) for i in range(0, 30, 2)]
+    i, j = np.triu_indices(15, 1)
+    want = [len(set(sets[a].tolist()) & set(sets[b].tolist())) for a, b in zip(i, j)]
+    assert jaccard.shared_counts(sets)[i, j].tolist() == want
+    assert jaccard.common_shingles(sets, i[:5], j[:5]).tolist() == want[:5]
 
 
 def test_components(spark):
