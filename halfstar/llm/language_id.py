@@ -1,10 +1,11 @@
 """Language of web pages by Bayesian fusion of evidence.
 
-Four kinds of evidence are added up as logarithms: how likely the visible text is
-in each language (character trigrams), the language its markup declares, the
-suffix of its address, and what the other pages of its host are written in. How
-far a declaration or a suffix can be trusted is counted over all pages; a host's
-languages are shrunk to those of its domain, suffix and the whole table.
+Three kinds of evidence are added up as logarithms: how likely the visible text is
+in each language (character trigrams), the language its markup declares, and what
+the other pages of its host are written in. How far a declaration can be trusted is
+counted over all pages; a host's languages are shrunk to those of its domain, these
+to those of the address suffix, and these to the whole table's. A page's own text
+is left out of every count that it is judged by.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from halfstar.llm.url_filter import domain_of, suffix_of, url_host
 from halfstar.sources.writers import materialise
 
 BUCKETS = 1 << 14  # trigrams are hashed to so many
-MOST_LANGUAGES = 256
+LANGUAGES = 256  # of more, a language has fewer buckets, so that the table keeps its size
 TEMPER = 0.2  # neighbouring trigrams say much the same, so each counts for less than one observation
 HIDDEN = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-z#0-9]{1,8};", re.S | re.I)
 DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,8})", re.I)
@@ -64,14 +65,17 @@ def trigram_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
 
 
 def text_model(counts: DataFrame) -> tuple[list[str], np.ndarray]:
-    """(languages, log probabilities: languages x BUCKETS): at most MOST_LANGUAGES * BUCKETS numbers, whatever was counted."""
-    languages = sorted(r[0] for r in counts.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    table = np.full((len(languages), BUCKETS), 0.5)
+    """(languages, log probabilities: languages x buckets): LANGUAGES * BUCKETS numbers at most, up to 65,536 languages.
+
+    Of more than LANGUAGES languages each has a smaller power of two of buckets, 64 at least.
+    """
+    languages = sorted(r[0] for r in counts.select("lang").distinct().collect())
+    buckets = max(64, min(BUCKETS, LANGUAGES * BUCKETS >> max(0, len(languages) - 1).bit_length()))
+    table = np.full((len(languages), buckets), 0.5)
     place = {lang: i for i, lang in enumerate(languages)}
-    for row in counts.collect():
-        table[place[row["lang"]], row["bucket"]] += row["n"]
+    folded = counts.groupBy("lang", (F.col("bucket") % buckets).alias("bucket")).agg(F.sum("n").alias("n"))
+    for row in folded.toLocalIterator():
+        table[place[row["lang"]], row["bucket"]] = 0.5 + row["n"]
     return languages, np.log(table / table.sum(axis=1, keepdims=True))
 
 
@@ -84,7 +88,7 @@ def score_pages(pages: DataFrame, languages: list[str], model: np.ndarray, id_co
         for batch in batches:
             rows = []
             for i, host, html in zip(batch["_id"], batch["host"], batch["_html"]):
-                found = trigrams(visible(html))
+                found = trigrams(visible(html)) % small.shape[1]
                 score = small[:, found].sum(axis=1, dtype=np.float64) * TEMPER
                 said = DECLARED.search(html)
                 best = int(score.argmax()) if len(found) and len(languages) else None
@@ -96,10 +100,17 @@ def score_pages(pages: DataFrame, languages: list[str], model: np.ndarray, id_co
     return held.mapInPandas(run, f"_id {kind}, host string, declared string, likelihood array<double>, best int, n int")
 
 
+def _as_array(counts: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """``counts`` (keys, best, n) as one row per key: ``counts`` in the languages' order, and ``rows``. At most k + 1 counts a key."""
+    held = F.map_from_entries(F.collect_list(F.when(F.col("best").isNotNull(), F.struct("best", F.col("n").cast("double")))))
+    found = counts.groupBy(*keys).agg(held.alias("_held"), F.sum("n").alias("rows"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce(F.try_element_at("_held", i), F.lit(0.0)))
+    return found.select(*keys, every.alias("counts"), "rows")
+
+
 def _by_language(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
     """Rows per key by the language of their text, as an array in the languages' order, and their number."""
-    each = [F.count_if(F.col("best") == i).cast("double") for i in range(k)]
-    return rows.groupBy(*keys).agg(F.array(*each).alias("counts"), F.count(F.lit(1)).alias("rows"))
+    return _as_array(rows.groupBy(*keys, "best").agg(F.count(F.lit(1)).alias("n")), keys, k)
 
 
 def _shrink(counts: Column, parent: Column, strength: float) -> Column:
@@ -118,8 +129,7 @@ def identify(
     """One row per row of ``pages``: id, host, declared, text_lang, lang, confidence.
 
     The trigrams of all ``docs`` with a language (``text``, ``lang``) give the text
-    likelihoods. A page's own text has no part in its host's shares. ``strength`` is
-    the number of pages that each level's parent counts for. A page without visible
+    likelihoods. ``strength`` is the number of pages that each level's parent counts for. A page without visible
     text has a null ``text_lang`` and is decided by the other evidence; a null url has
     the empty host, null html is empty. Without any document that has a language,
     ``lang`` and ``confidence`` are null. Ties go to the first language by code point.
@@ -134,33 +144,36 @@ def identify(
     rows = rows.withColumns({"_said": null_key("declared"), "_suffix": suffix_of(F.col("host"))})
     hosts = materialise(_by_language(rows, ["host"], k), "host-languages")
     hosts = hosts.withColumns({"_domain": domain_of(F.col("host")), "_suffix": suffix_of(F.col("host"))})
-    total = lambda i: F.sum(F.element_at("counts", i + 1))
-    up = lambda df, *keys: df.groupBy(*keys).agg(F.array(*map(total, range(k))).alias("counts"), F.sum("rows").alias("rows"))
-    domains, suffixes = up(hosts, "_domain", "_suffix"), up(hosts, "_suffix")
-    overall = [n or 0.0 for n in up(hosts).first()["counts"]]
-    shares = F.array(*[F.lit((n + 1) / (sum(overall) + k)) for n in overall])
-    suffixes = suffixes.withColumn("_s", _shrink(F.col("counts"), shares, strength))
-    domains = salted_join(domains, suffixes.select("_suffix", "_s"), "_suffix", hot_keys(suffixes, "_suffix", "rows"), F.col("_domain"))
-    domains = domains.withColumn("_d", _shrink(F.col("counts"), F.col("_s"), strength))
-    hosts = salted_join(hosts, domains.select("_domain", "_d"), "_domain", hot_keys(domains, "_domain", "rows"), F.col("host"))
-    hosts = materialise(hosts.select("host", "counts", "_d", "rows"), "host-shares")
-    # How often each language's pages declare a value: shares of the language's pages, with the value's overall share added.
+    # What pages without text add to the rows of a level matters to joins only.
+    def up(*keys: str) -> DataFrame:
+        each = hosts.select(*keys, F.posexplode("counts").alias("best", "n")).groupBy(*keys, "best").agg(F.sum("n").alias("n"))
+        return _as_array(each, list(keys), k)
+
+    domains, suffixes = up("_domain", "_suffix"), up("_suffix")
+    overall = [r["n"] for r in hosts.select(F.posexplode("counts").alias("best", "n")).groupBy("best").agg(F.sum("n").alias("n")).orderBy("best").collect()]
+    overall = overall or [0.0] * k
+    domains = salted_join(
+        domains, suffixes.select("_suffix", F.col("counts").alias("_of_suffix")), "_suffix", hot_keys(suffixes, "_suffix", "rows"), F.col("_domain")
+    )
+    domains = domains.select("_domain", F.col("counts").alias("_of_domain"), "_of_suffix", "rows")
+    hosts = salted_join(hosts, domains.drop("rows"), "_domain", hot_keys(domains, "_domain", "rows"), F.col("host"))
+    hosts = materialise(hosts.select("host", F.col("counts").alias("_of_host"), "_of_domain", "_of_suffix", "rows"), "host-shares")
     said = materialise(_by_language(rows, ["_said"], k), "declarations")
+    met = salted_join(rows, said.select("_said", F.col("counts").alias("_of_said"), F.col("rows").alias("_said_rows")), "_said", hot_keys(said, "_said", "rows"), F.col("_id"))
+    met = salted_join(met, hosts.drop("rows"), "host", hot_keys(hosts, "host", "rows"), F.col("_id"))
+    # Every count without the page's own text.
+    own = F.coalesce(F.col("best"), F.lit(-1))
+    others = lambda counts: F.transform(counts, lambda n, i: n - (i == own).cast("double"))
+    everywhere = others(F.array(*map(F.lit, overall)))
+    n_all = F.lit(sum(overall)) - F.col("best").isNotNull().cast("double")
+    prior = F.transform(everywhere, lambda n: (n + 1) / (n_all + k))
+    for level in ("_of_suffix", "_of_domain", "_of_host"):
+        prior = _shrink(others(F.col(level)), prior, strength)
+    # How often pages of each language declare the value, with the value's share of all pages added.
     n_rows = sum(overall) or 1.0
-
-    def evidence(df: DataFrame, key: str) -> DataFrame:
-        sums = F.array(*[F.lit(n + strength) for n in overall])
-        share = F.zip_with(F.col("counts"), sums, lambda n, m: F.log((n + strength * (F.col("rows") + 1) / (n_rows + 1)) / m))
-        return df.select(key, share.alias(f"_e{key}"), F.col("rows").alias(f"_n{key}"))
-
-    said, tails = evidence(said, "_said"), evidence(materialise(up(hosts.withColumn("_suffix", suffix_of(F.col("host"))), "_suffix"), "suffixes"), "_suffix")
-    met = salted_join(rows, said, "_said", hot_keys(said, "_said", "_n_said"), F.col("_id"))
-    met = salted_join(met, tails, "_suffix", hot_keys(tails, "_suffix", "_n_suffix"), F.col("_id"))
-    met = salted_join(met, hosts, "host", hot_keys(hosts, "host", "rows"), F.col("_id"))
-    others = F.transform("counts", lambda n, i: n - (i == F.col("best")).cast("double"))
-    others = F.when(F.col("best").isNotNull(), others).otherwise(F.col("counts"))
-    prior = F.transform(_shrink(others, F.col("_d"), strength), lambda p: F.log(p))
-    fused = _add(_add(F.col("likelihood"), prior), _add(F.col("_e_said"), F.col("_e_suffix")))
+    share = strength * (F.col("_said_rows") + 1) / (n_rows + 1)
+    declared = F.zip_with(others(F.col("_of_said")), everywhere, lambda n, m: F.log((n + share) / (m + strength)))
+    fused = _add(_add(F.col("likelihood"), F.transform(prior, lambda p: F.log(p))), declared)
     met = met.withColumn("_fused", fused).withColumn("_most", F.array_max("_fused"))
     weight = F.aggregate("_fused", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_most")))
     names = F.array(*map(F.lit, languages))
