@@ -6,9 +6,9 @@ the counts, shard by shard, and every block gets back the probabilities of its
 own n-grams only. So neither a document nor the model is ever in one place, and
 what is moved grows with the text. Texts and lists travel packed and compressed.
 
-Characters from PLAIN on share a symbol by 256s: in scripts above it, such as
-Georgian, kana, Chinese and Hangul, the model tells blocks apart, not characters,
-and can't tell made-up text of the script from trusted text.
+Characters below PLAIN are a symbol each, and all others are two, the page of 512
+characters that holds them and the place on it, so that no two characters are alike
+to the model in any script.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ from halfstar.sources.writers import materialise
 
 ORDER, BITS = 5, 12
 ALPHABET = 1 << BITS  # 0 begins a text, 1 ends it
-PLAIN = 3_800  # characters below have a symbol each, those above share one by 256s
+PLAIN = 1_400  # Latin, Greek, Cyrillic and Armenian letters are below
+PAGE, PAGES = 512, 0x110000 // 512
 BLOCK_CHARS = 16_000_000
 LEAST_BLOCKS = 16
 SLICE_CHARS = 500_000
@@ -36,7 +37,14 @@ FOLDS = 5  # one in FOLDS trusted documents isn't trained on, but sets the thres
 
 def symbols(text: str) -> np.ndarray:
     code = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
-    return np.where(code < PLAIN, code + 2, PLAIN + 2 + (code >> 8) % (ALPHABET - PLAIN - 2))
+    wide = code >= PLAIN
+    if not wide.any():
+        return code + 2
+    at = np.arange(len(code)) + np.cumsum(wide) - wide
+    out = np.empty(len(code) + wide.sum(), np.int64)
+    out[at] = np.where(wide, PLAIN + 2 + code // PAGE, code + 2)
+    out[at[wide] + 1] = PLAIN + 2 + PAGES + code[wide] % PAGE
+    return out
 
 
 def text_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -112,32 +120,63 @@ def _pressed(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 LISTS = "_block int, _shard int, _list binary"
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct n-grams of lists of (n-grams, counts), with their counts added up: one sort of all."""
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    grams, counts = (np.concatenate(c) for c in zip(*parts))
+    order = np.argsort(grams, kind="stable")
+    grams, counts = grams[order], counts[order]
+    first = np.nonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))[0] if len(grams) else np.zeros(0, np.int64)
+    return grams[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+class _Sums:
+    """Lists of n-grams added up as they come; what is held is put together once it has doubled."""
+
+    def __init__(self):
+        self.parts, self.size, self.known = [], 0, 0
+
+    def add(self, grams: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((grams, counts))
+        self.size += len(grams)
+        if self.size > 2 * self.known + 2_000_000:
+            self.parts = [_merged(self.parts)]
+            self.size = self.known = len(self.parts[0][0])
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        return _merged(self.parts)
+
+
 def _count(packed: pd.DataFrame, trusted: pd.DataFrame, shards: int) -> pd.DataFrame:
-    """The block's n-grams, each with its number in trusted documents: a list per shard."""
+    """The block's n-grams, each with its number in trusted documents: a list per shard that has any."""
     if not len(packed):
         return pd.DataFrame({"_block": [], "_shard": [], "_list": []}).astype({"_block": "int32", "_shard": "int32"})
-    known = set(trusted["_id"])
-    found = pd.Series(dtype="int64")
+    known, found = set(trusted["_id"]), _Sums()
     for ids, _, _, texts in _unpacked(packed):
         train = np.array([i in known for i in ids])
         for first, part in _slices(texts):
             gram, owner = text_grams(part)
             codes, names = pd.factorize(gram)
             counts = np.bincount(codes, weights=train[first : first + len(part)][owner], minlength=len(names))
-            found = found.add(pd.Series(counts.astype(np.int64), index=names), fill_value=0)
-    found = found.sort_index()
-    grams, counts = found.index.to_numpy(np.int64), found.to_numpy().astype(np.int64)
-    rows = [(packed["_block"].iloc[0], s, _press(grams[at], counts[at])) for s in range(shards) if (at := grams % shards == s).any()]
+            found.add(names, counts.astype(np.int64))
+    grams, counts = found.total()
+    # One sort by shard cuts the list; within a shard the n-grams stay in order.
+    shard = grams % shards
+    order = np.argsort(shard, kind="stable")
+    edges = np.concatenate([np.nonzero(np.diff(shard[order], prepend=-1))[0], [len(order)]])
+    block = packed["_block"].iloc[0]
+    rows = [(block, int(shard[order[a]]), _press(grams[order[a:b]], counts[order[a:b]])) for a, b in zip(edges[:-1], edges[1:])]
     return pd.DataFrame(rows, columns=["_block", "_shard", "_list"])
 
 
 def _add_up(lists: pd.DataFrame) -> pd.DataFrame:
     """The counts of one shard's n-grams over all blocks."""
-    total = pd.Series(dtype="int64")
+    found = _Sums()
     for blob in lists["_list"]:
-        grams, counts = _pressed(blob)
-        total = total.add(pd.Series(counts, index=grams), fill_value=0)
-    return pd.DataFrame({"g": total.index.to_numpy(np.int64), "c": total.to_numpy().astype(np.int64)})
+        found.add(*_pressed(blob))
+    grams, counts = found.total()
+    return pd.DataFrame({"g": grams, "c": counts})
 
 
 def _look_up(lists: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
@@ -228,7 +267,9 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str
     chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
     blocks = max(LEAST_BLOCKS, -(-chars // BLOCK_CHARS))
     names = trusted.select(F.col("_id").cast("string").alias("_id"), _block("_id", None, blocks).alias("_block"))
-    shards = blocks | 1  # odd, so that all symbols of an n-gram have a part in its remainder
+    # A list per block and shard that has any n-gram, so no more lists than n-grams. Odd, so
+    # that all symbols of an n-gram have a part in its remainder.
+    shards = max(LEAST_BLOCKS, blocks // 4) | 1
     counted = pack(held, blocks).groupBy("_block").cogroup(names.groupBy("_block"))
     lists = materialise(counted.applyInPandas(lambda packed, known: _count(packed, known, shards), LISTS), "block-grams")
     bits = gram_bits(lists.groupBy("_shard").applyInPandas(_add_up, "g long, c long"))
@@ -247,7 +288,7 @@ def quality(
 
     ``labels`` has the id and ``quality`` (1: trusted). Four in FOLDS trusted documents
     train the model; the others set a threshold per language: their ``quantile`` plus
-    ``slack`` times its distance to their median. Languages with under ``least`` of
+    ``slack`` times its distance to their median, 0 for the quantile alone. Languages with under ``least`` of
     them take the thresholds of all languages together. The cross entropy, in bits a
     symbol, counts ``prior_symbols`` symbols at the language's median on top of the
     text's own, so that a few words alone decide nothing. Without trusted documents

@@ -115,3 +115,45 @@ def test_discounts_stay_in_range():
     for n in ([0, 0, 0, 0], [5, 0, 1, 1], [1, 9, 9, 9], [100, 40, 20, 12]):
         assert all(0 < d < i for i, d in enumerate(kn.discounts(n), 1))
     assert np.allclose(kn.discounts([100, 40, 20, 12]), (1 - 2 * 100 / 180 * 0.4, 2 - 3 * 100 / 180 * 0.5, 3 - 4 * 100 / 180 * 0.6))
+
+
+def test_every_character_has_symbols_of_its_own():
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    seen = [tuple(kn.symbols(c).tolist()) for c in every[::37] + every[:5000]]
+    assert len(set(seen)) == len(set(every[::37] + every[:5000])) and max(max(x) for x in seen) < kn.ALPHABET
+    assert min(min(x) for x in seen) > 1 and kn.symbols("aбकか😀").tolist() == [y for c in "aбकか😀" for y in kn.symbols(c).tolist()]
+
+
+@pytest.mark.parametrize("letters", ["かきくけこさしすせそたちつてとなにぬねのはひふへほ", "가나다라마바사아자차카타파하거너더러머버서어저처", "აბგდევზთიკლმნოპჟრსტუ"])
+def test_junk_of_other_scripts_goes(spark, make_docs, letters):
+    """Shuffled characters of a script score worse than its words do."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 5))) for _ in range(40)]
+    rows = []
+    for i in range(700):
+        text = [rng.choice(words) for _ in range(rng.randint(40, 80))]
+        chars = list("".join(text))
+        rng.shuffle(chars)
+        rows.append((i, "".join(chars) if i % 10 == 0 else " ".join(text), "xx", "s", 0, "", "", ""))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(700) if i % 10], LABELS)
+    got = {r.doc_id: r.kept for r in kn.quality(make_docs(rows), labels).collect()}
+    assert sum(got[i] for i in range(0, 700, 10)) == 0 and sum(got[i] for i in range(700) if i % 10) >= 0.99 * 630
+
+
+def test_lists_are_as_many_as_ngrams_at_most():
+    """Counting in a block is the same for any number of shards, and gives no empty lists."""
+    import pickle
+
+    import pandas as pd
+    import zstandard
+
+    texts = [PROSE, PROSE[::-1], "short"]
+    blob = zstandard.ZstdCompressor().compress(pickle.dumps((["1", "2", "3"], [0, 0, 0], ["en"] * 3, texts)))
+    packed, trusted = pd.DataFrame({"_block": [0], "_packed": [blob]}), pd.DataFrame({"_id": ["1", "3"]})
+    whole = []
+    for shards in (1, 17, 100_001):
+        lists = kn._count(packed, trusted, shards)
+        parts = [kn._pressed(x) for x in lists["_list"]]
+        assert all(len(g) for g, _ in parts) and all((g % shards == s).all() for (g, _), s in zip(parts, lists["_shard"]))
+        whole.append(sorted((int(g), int(c)) for gs, cs in parts for g, c in zip(gs, cs)))
+    assert whole[0] == whole[1] == whole[2] and len(whole[0]) == len(set(kn.text_grams(texts)[0].tolist()))
