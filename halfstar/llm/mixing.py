@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from halfstar.llm.common import hot_keys, null_key, salted_join, text_of, word_count
+from halfstar.llm.common import SALTS, hot_keys, null_key, salted_join, text_of, word_count
 from halfstar.sources.writers import materialise
 
 # The 45th and 46th Fibonacci numbers; their product stays below 2^63.
@@ -169,9 +169,26 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     mix = mix_sources(docs.withColumn("_key64", key), id_col, text_col, extra=("_key64",), **settings)
     times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int"))
-    # Rows that repeat both id and text share a key, and take one number of the list each.
-    times = mix.taken().groupBy("_key64").agg(F.sort_array(F.collect_list(times)).alias("_times"))
+    # Rows that repeat both id and text share a key. Their numbers differ by a few values at most.
+    numbers = mix.taken().groupBy("_key64", times.alias("_times")).agg(F.count(F.lit(1)).alias("_n"))
+    numbers = numbers.groupBy("_key64").agg(F.array_sort(F.collect_list(F.struct("_times", "_n"))).alias("_numbers"), F.sum("_n").alias("_rows"))
+    numbers = materialise(numbers, "numbers")
     held = docs.select(F.struct("*").alias("_doc"), key.alias("_key64"))
-    held = held.join(times, "_key64")
-    held = held.withColumn("_nth", F.row_number().over(Window.partitionBy("_key64").orderBy("_key64")))
-    return held.select(F.explode(F.array_repeat("_doc", F.element_at("_times", F.col("_nth")))).alias("_doc")).select("_doc.*")
+    alone = held.join(numbers.where("_rows = 1").select("_key64", F.col("_numbers")[0]["_times"].alias("_times")), "_key64").select("_doc", "_times")
+    # Repeated rows are written with a number of their own, and counted off in SALTS parts a key.
+    again = held.join(numbers.where("_rows > 1").select("_key64"), "_key64", "left_semi")
+    again = materialise(again.withColumn("_row", F.monotonically_increasing_id()), "repeated")
+    again = again.withColumn("_part", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int"))
+    ahead = Window.partitionBy("_key64").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = again.groupBy("_key64", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    parts = parts.select("_key64", "_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
+    placed = again.withColumn("_nth", F.row_number().over(Window.partitionBy("_key64", "_part").orderBy("_row"))).join(parts, ["_key64", "_part"])
+    hot = hot_keys(numbers.where("_rows > 1"), "_key64", "_rows")
+    placed = salted_join(placed, numbers.select("_key64", "_numbers"), "_key64", hot, F.col("_row"), "inner")
+    # The value whose share of the key's rows holds this row's place.
+    start = F.struct((F.col("_nth") + F.col("_ahead")).alias("left"), F.lit(0).alias("times"))
+    pick = F.aggregate("_numbers", start, lambda s, x: F.struct(
+        (s["left"] - x["_n"]).alias("left"), F.when(s["left"] > 0, x["_times"]).otherwise(s["times"]).alias("times")
+    ), lambda s: s["times"])
+    both = alone.unionByName(placed.select("_doc", pick.alias("_times")))
+    return both.select(F.explode(F.array_repeat("_doc", F.col("_times"))).alias("_doc")).select("_doc.*")

@@ -49,3 +49,13 @@ def test_whole_documents_follow_the_words(make_docs):
     docs = make_docs(rows_of([f"{PROSE} {i}" for i in range(600)]))
     words = sum(r.taken for r in mix_report(mix_sources(docs)).collect())
     assert abs(mixed_documents(docs).count() * 20 - words) < 0.1 * words
+
+
+def test_many_rows_of_one_id_and_text(make_docs):
+    """Thousands of rows that agree in id and text: each comes as often as its own words are taken, in linear work."""
+    rows = [(None, "", None, "a", None, None, None, None)] * 4000 + [(7, "one two three", None, "b", None, None, None, None)] * 3000
+    docs = make_docs(rows)
+    out = mixed_documents(docs)
+    assert out.columns == docs.columns
+    taken = mix_sources(docs).taken().where("size > 0").selectExpr("cast(floor(taken / size + 0.5) as int) as t").groupBy().sum("t").first()[0]
+    assert out.where("text = ''").count() == 4000 and out.where("doc_id = 7").count() == taken
