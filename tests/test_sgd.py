@@ -91,6 +91,24 @@ def test_goes_on_from_a_model(spark):
     assert after.users.count() == model.users.count() and after.mean == model.mean
 
 
+def test_strata_shuffle_nothing_and_equal_the_loop(spark):
+    """Two blocks: a stratum reads the files of its blocks in two tasks, and all strata are the loop over their cells in turn."""
+    rows, df = random_ratings(spark, 30, 25, 300)
+    held = sgd.cells(df, 2, [], [], 42)
+    state = held.selectExpr("'user' as side", "ub as block", "userId as id", "1L as n", "cast(null as double) as bias", "cast(null as array<double>) as features")
+    one = sgd._stratum(state, held, 0, 2, 5, 1, (3.0, 0.005, 0.02, 0.1, 42))
+    stratum = one._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in stratum and one.rdd.getNumPartitions() == 2
+    cells = held.orderBy("stratum", "task", "wave").collect()
+    p, q, bu, bi = one_by_one([(r.userId, r.movieId, r.rating) for r in cells], 5, 3)
+    model = sgd.sgd_fit(df, 5, 3, blocks=2)
+    for table, factors, bias in ((model.users, p, bu), (model.items, q, bi)):
+        got = {x.id: x for x in table.collect()}
+        assert got.keys() == factors.keys()
+        for k, x in got.items():
+            assert x.bias == pytest.approx(bias[k], abs=1e-12) and np.allclose(x.features, factors[k], atol=1e-12)
+
+
 def test_cold_ids_and_nothing(spark):
     _, df = random_ratings(spark, 10, 10, 60)
     model = sgd.sgd_fit(df, 3, 2)
