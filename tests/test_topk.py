@@ -1,6 +1,9 @@
 """Exact search for the best products, and positions in groups of any size."""
 
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +44,34 @@ def test_topk_is_exact(spark, monkeypatch, first, scored):
     assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
 
 
+def block(p, q, seen=()):
+    u = [*range(len(p)), *[-1] * len(q), *[a for a, _ in seen]]
+    i = [*[-1] * len(p), *range(len(q)), *[b for _, b in seen]]
+    return pd.DataFrame({"u": u, "i": i, "features": [*p, *q, *[None] * len(seen)]})
+
+
+@pytest.mark.parametrize("digits,scale", [(1, 1.0), (3, 1.0), (3, 1e20)])
+def test_tiles_of_a_block_give_its_best(monkeypatch, digits, scale):
+    """Ties, seen pairs and a user with nearly nothing left, in tiles that the bar is raised between."""
+    monkeypatch.setattr(factors, "TILE_USERS", 7)
+    monkeypatch.setattr(factors, "TILE_ITEMS", 13)
+    rng = np.random.default_rng(7)
+    p, q = rng.normal(size=(30, 4)).round(digits), rng.normal(size=(90, 4)).round(digits)
+    seen = {(int(a), int(b)) for a, b in rng.integers(0, (30, 90), (700, 2))} | {(3, b) for b in range(88)} | {(4, b) for b in range(90)}
+    got = factors.block_topk(block(p * scale, q, sorted(seen)), 5)
+    assert sorted(zip(got.userId, got.movieId)) == sorted((u, i) for u, _, i, _ in brute(p, q, 5, seen))
+
+
+def test_a_large_block_holds_a_tile_of_products():
+    """2,048 x 32,768 products would be 512 MB."""
+    rng = np.random.default_rng(8)
+    rows = block(rng.normal(size=(2_048, 4)), rng.normal(size=(32_768, 4)))
+    tracemalloc.start()
+    assert len(factors.block_topk(rows, 10)) == 20_480
+    assert tracemalloc.get_traced_memory()[1] < 150e6
+    tracemalloc.stop()
+
+
 def test_topk_of_unseen_items(spark, monkeypatch):
     monkeypatch.setattr(factors, "FIRST", 16)
     p, q, users, items = tables(spark, 30, 120, 4, seed=5)
