@@ -1,13 +1,14 @@
 import os
 import random
+import re
 from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from halfstar import session
-from halfstar.operators import profile
-from halfstar.sources import readers, writers
+from halfstar.operators import profile, skew
+from halfstar.sources import readers, startables, writers
 from tests.fixtures import ratings, rows_of
 
 
@@ -136,6 +137,28 @@ def test_packed_latest_is_the_latest(spark):
         readers.latest_packed(df, {"o": 18, "l": 18})
 
 
+def test_joined_digits(spark):
+    rng = random.Random(6)
+    for widths in [(10, 18, 5, 2), (10, 18, 8, 2), (18, 18, 2), (2, 18, 18), (1, 1), (10, 2), (18, 2), (9, 9, 9, 9)]:
+        rows = [tuple(rng.choice([0, 1, 10**w - 1, rng.randrange(10**w)]) for w in widths) for _ in range(30)]
+        names = [f"c{i}" for i in range(len(widths))]
+        df = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in names))
+        got = df.select(readers._joined_digits([(F.col(c), w) for c, w in zip(names, widths)]).cast("string")).collect()
+        assert [int(r[0]) for r in got] == [int("".join(f"{v:0{w}}" for v, w in zip(row, widths))) for row in rows]
+
+
+def test_large_mapped_tables_are_dealt_into_bounded_tasks(spark, sf, monkeypatch):
+    """The aggregate before the shuffle would hold whatever a scan task reads: tasks follow the rows instead."""
+    whole = startables.ratings(spark, sf)
+    monkeypatch.setattr(skew, "DEALT_FROM", 1000)
+    monkeypatch.setattr(skew, "DEALT_ROWS", 500)
+    dealt = startables.ratings(spark, sf)
+    n = -(-startables.table(spark, sf, "lineitem").count() // 500)
+    text = dealt._jdf.queryExecution().executedPlan().toString()
+    assert n > 4 and re.search(rf"hashpartitioning\(l_orderkey#\d+L, {n}\)", text) and "ShuffledHashJoin" in text
+    assert rows_of(dealt, *dealt.columns) == rows_of(whole, *whole.columns)
+
+
 def test_scratch_follows_the_session(spark, tmp_path):
     def fake(master, **conf):
         return SimpleNamespace(

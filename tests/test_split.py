@@ -48,6 +48,20 @@ def test_hot_user_with_one_timestamp(spark, moment):
     assert set(rows_of(test, "userId", "movieId")) == expected_split(rows)[1]
 
 
+def test_large_splits_are_dealt_by_user(spark, monkeypatch):
+    """The window's tasks follow the ratings, and known counts of users aren't taken again."""
+    rows, df = random_ratings(spark, 30, 400, 900)
+    monkeypatch.setattr(split.skew, "DEALT_FROM", 100)
+    monkeypatch.setattr(split.skew, "DEALT_ROWS", 50)
+    counted = split.skew.group_sizes(df, "userId").localCheckpoint()
+    monkeypatch.setattr(split, "group_sizes", None)
+    labelled = split.label_split(df, sizes=counted)
+    total = counted.agg(F.sum("n")).first()[0]
+    text = labelled._jdf.queryExecution().executedPlan().toString()
+    assert total > 250 and f", {-(-total // 50)})" in text and text.count("Exchange hashpartitioning") == 1
+    assert set(rows_of(labelled.where("in_test"), "userId", "movieId")) == expected_split(rows)[1]
+
+
 def test_invariants(spark, sf, halves):
     from workload import tables
 
