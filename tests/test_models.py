@@ -168,6 +168,16 @@ def test_neighbours_move_no_more_than_co_rated_pairs(spark):
         assert user_knn.meetings(df, 16).where("not own").count() <= pairs
 
 
+def test_raters_of_an_item_are_sent_in_lists(spark, monkeypatch):
+    """A row per list and block that meets it, not one per rater, and tasks by the raters."""
+    rows, df = random_ratings(spark, 200, 20, 2000)
+    met = user_knn.meetings(df, 16).where("not own")
+    assert met.count() <= 20 * 13 and met.agg(F.sum(F.size("users"))).first()[0] > 10 * met.count()
+    monkeypatch.setattr(user_knn, "DEALT_RATERS", 5000)
+    got = user_knn.user_knn_similarity(df, n=6, block_users=16)
+    assert [r[:3] for r in rows_of(got, "userId", "pos", "neighbourId")] == [r[:3] for r in brute_neighbours(rows, 6)]
+
+
 def test_user_knn_fallbacks(spark):
     train = ratings(spark, [(1, 1, 4.0, 0), (1, 2, 2.0, 0), (2, 1, 4.0, 0), (2, 3, 5.0, 0), (3, 9, 1.0, 0)])
     neighbours = user_knn.user_knn_similarity(train)
