@@ -178,6 +178,33 @@ def test_raters_of_an_item_are_sent_in_lists(spark, monkeypatch):
     assert [r[:3] for r in rows_of(got, "userId", "pos", "neighbourId")] == [r[:3] for r in brute_neighbours(rows, 6)]
 
 
+@pytest.mark.parametrize("listed_items", [0, 8, 1000])
+def test_user_knn_predictions(spark, listed_items):
+    """Short and long lists of items: always the plain loop's predictions, for pairs asked twice, too."""
+    rows, train = random_ratings(spark, 40, 30, 400, hot_user=3)
+    asked = random_ratings(spark, 44, 33, 300, seed=2)[0]
+    pairs = ratings(spark, asked + asked[:20])
+    neighbours = user_knn.user_knn_similarity(train, n=6)
+    near, given = {}, {(u, m): x for u, m, x, _ in rows}
+    for r in neighbours.collect():
+        near.setdefault(r.userId, []).append((r.neighbourId, r.similarity))
+    mean = lambda xs: sum(xs) / len(xs)
+    want = []
+    for u, m, _, _ in asked + asked[:20]:
+        votes = [(s, given[v, m]) for v, s in near.get(u, []) if (v, m) in given]
+        own = [x for (w, _), x in given.items() if w == u]
+        want.append((u, m, sum(s * x for s, x in votes) / sum(s for s, _ in votes) if votes else mean(own or list(given.values()))))
+    got = rows_of(user_knn.user_knn_predict(train, pairs, neighbours, listed_items), "userId", "movieId", "prediction")
+    assert [r[:2] for r in got] == [r[:2] for r in sorted(want)] and [r[2] for r in got] == pytest.approx([r[2] for r in sorted(want)])
+
+
+def test_predictions_shuffle_a_row_per_neighbour(spark, halves):
+    train, pairs = halves
+    near = spark.createDataFrame([(1, 2, 0.5)], user_knn.NEIGHBOUR)
+    text = user_knn.user_knn_predict(train, pairs, near)._jdf.queryExecution().optimizedPlan().toString()
+    assert "arrays_overlap" in text
+
+
 def test_user_knn_fallbacks(spark):
     train = ratings(spark, [(1, 1, 4.0, 0), (1, 2, 2.0, 0), (2, 1, 4.0, 0), (2, 3, 5.0, 0), (3, 9, 1.0, 0)])
     neighbours = user_knn.user_knn_similarity(train)
