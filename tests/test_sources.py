@@ -122,6 +122,15 @@ def test_every_line_is_accounted_for(spark, tmp_path):
     assert none.rows.isEmpty() and (none.n_rows, none.n_rejects) == (0, 0)
 
 
+def test_checked_lines_are_not_sorted(spark, tmp_path, monkeypatch):
+    """A table written by folders is sorted by them, and the task holds all its lines."""
+    (tmp_path / "ratings.csv").write_text("userId,movieId,rating,timestamp\n1,2,3.5,4\nx,2,3.5,4\n")
+    by = []
+    monkeypatch.setattr(readers, "materialise", lambda df, name, *partition_by: by.append(partition_by) or writers.materialise(df, name, *partition_by))
+    got = readers.scan_checked(spark, str(tmp_path), "ratings", max_bad=0.5)
+    assert by == [()] and (got.rows.count(), got.rejects.count()) == (1, 1)
+
+
 def test_packed_latest_is_the_latest(spark):
     rng = random.Random(5)
     rows = [(rng.randrange(5), rng.randrange(4), rng.randrange(1, 11) / 2, rng.randrange(3), rng.randrange(3), rng.randrange(2)) for _ in range(400)]
