@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +114,22 @@ def test_samples(spark):
     assert sampling.sample_users_fraction(df, 0.0).isEmpty()
     capped = sampling.cap_candidates(df.withColumn("userId", F.col("userId") % 3), 5).groupBy("userId").count()
     assert {r["count"] for r in capped.collect()} == {5}
+
+
+def test_rankings_are_judged_by_user(spark):
+    """Recommendations and relevant items meet by user, so halves stored by user stay where they are; against the join of pairs."""
+    rng = random.Random(8)
+    recs = [(u, p, i, 1.0) for u in range(40) for p, i in enumerate(rng.sample(range(30), rng.randrange(0, 14)), 1)]
+    recs += [(50, 1, 3, 1.0), (50, 4, 3, 1.0)]
+    test = [(u, i, rng.choice([1.0, 4.0, 5.0]), 0) for u in range(5, 51) for i in rng.sample(range(30), 12)] + [(50, 3, 5.0, 0)]
+    test = sorted({(u, i): (u, i, r, t) for u, i, r, t in test}.values())
+    df, truth = spark.createDataFrame(recs, "userId int, pos int, movieId int, score double"), ratings(spark, test)
+    hit = F.col("relevant").cast("int")
+    judged = evaluate.running_hits(evaluate.join_user_truth(df.where("pos <= 10"), truth)).groupBy("userId", "n_relevant")
+    plain = judged.agg(F.sum(hit), F.round(F.sum(hit / F.log2(F.col("pos") + 1)), 9), F.round(F.sum(hit * F.col("hits") / F.col("pos")), 9))
+    got = evaluate.user_ranking_metrics(df, truth)
+    ideal = evaluate.ideal_dcg(F.col("n_relevant"), 10)
+    back = got.select("userId", "n_relevant", "n_hits", F.round(F.col("ndcg") * ideal, 9), F.round(F.col("ap") * F.col("n_relevant"), 9))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, plain.collect())) and back.count() > 30
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(userId" in plan and not re.search(r"hashpartitioning\(userId#\d+, movieId", plan)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from halfstar import session
-from halfstar.operators import profile, skew
+from halfstar.operators import profile, skew, split
 from halfstar.sources import readers, startables, writers
 from tests.fixtures import ratings, rows_of
 
@@ -146,6 +146,44 @@ def test_packed_latest_is_the_latest(spark):
         readers.latest_packed(df, {"o": 18, "l": 18})
 
 
+def test_recency_in_a_long(spark):
+    """Numbers whose ranges fit into 63 bits are one long; others, nulls only and negative ones are left to the decimal."""
+    rng = random.Random(6)
+    make = lambda rows: spark.createDataFrame(rows, "userId int, movieId int, rating double, timestamp long, o long, l int")
+    rows = [(rng.randrange(5), rng.randrange(4), rng.randrange(1, 11) / 2, 10**9 + rng.randrange(3), 10**7 - rng.randrange(3), rng.randrange(2)) for _ in range(300)]
+    rows += [(7, 7, None, 1, 1, 1), (7, 8, 1.0, None, 1, 1)]
+    df = make(rows)
+    key, packed = readers.recency_key(df, {"o": 18, "l": 5})
+    got = readers.latest_packed(df.select("userId", "movieId", key.alias("key")), {"o": 18, "l": 5}, packed)
+    plain = readers.latest_packed(df, {"o": 18, "l": 5})
+    assert rows_of(got, *got.columns) == rows_of(plain, *plain.columns) and got.schema == plain.schema and got.count() == 20
+    assert "decimal" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [readers.recency_key(make([(1, 1, 1.0, *x)]), {"o": 18, "l": 5}) for x in [(-1, 1, 1), (None, 1, 1), (1, 1, 10**5)]] == [None] * 3
+    assert readers.recency_key(make([(1, 1, 1.0, 0, 0, 0), (1, 1, 5.0, 2**32, 10**10, 1)]), {"o": 18, "l": 5}) is None
+    with pytest.raises(Exception, match="o is not from"):
+        make([(1, 1, 1.0, 10**9, 0, 1)]).select(key).collect()
+
+
+def test_large_tables_are_stored_by_user(spark, sf, monkeypatch):
+    """Users are counted and their halves cut without another shuffle; a user who may be too large for a task keeps all from it."""
+    from workload import tables
+
+    whole, labels = (rows_of(f(spark, sf), *f(spark, sf).columns) for f in (tables.ratings, tables.labelled))
+    monkeypatch.setattr(skew, "DEALT_FROM", 1000)
+    monkeypatch.setattr(skew, "DEALT_ROWS", 500)
+    for staged in ("_staged", "_parts"):
+        monkeypatch.setattr(tables, staged, {})
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    kept, labelled = tables.ratings(spark, sf), tables.labelled(spark, sf)
+    assert next(iter(tables._parts.values())) > 4 and "hashpartitioning" not in plan(skew.group_sizes(kept, "userId"))
+    cut = split.label_split(kept, sizes=tables.user_sizes(spark, sf), by_user=True)
+    assert "Window" in plan(cut) and "hashpartitioning" not in plan(cut)
+    assert (rows_of(kept, *kept.columns), rows_of(labelled, *labelled.columns)) == (whole, labels)
+    monkeypatch.setattr(skew, "TASK_ROWS", 50)
+    hot, parts = startables.dealt_ratings(spark, sf)
+    assert parts == 0 and rows_of(hot, *hot.columns) == whole
+
+
 def test_joined_digits(spark):
     rng = random.Random(6)
     for widths in [(10, 18, 5, 2), (10, 18, 8, 2), (18, 18, 2), (2, 18, 18), (1, 1), (10, 2), (18, 2), (9, 9, 9, 9)]:
