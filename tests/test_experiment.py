@@ -1,5 +1,7 @@
 import json
 
+from halfstar.operators.sampling import sample_split
+from halfstar.plans import experiment
 from halfstar.plans.experiment import run_experiment
 from halfstar.sources.readers import Dataset, read_results
 from halfstar.sources.schemas import RUNS
@@ -36,3 +38,18 @@ def test_experiment(spark, tmp_path):
     again = run_experiment(Dataset(ratings, movies, tags, links), out, n_runs=1, als={"rank": 3, "max_iter": 1}, svd={"n_factors": 2, "n_epochs": 1})
     assert {(r.model, r.n_runs) for r in again.collect()} == {("SVD", 1), ("ALS", 1)}
     assert read_runs(spark, f"{out}/run_log", RUNS).count() == 6
+
+
+def test_the_split_is_made_once(spark, tmp_path, monkeypatch):
+    """Sampling reads both halves several times: from files, not by sorting all ratings again."""
+    train, test = planted(spark, users=30, items=20)
+    movies = spark.createDataFrame([(i, f"t{i}", "Drama") for i in range(20)], "movieId int, title string, genres string")
+    tags = spark.createDataFrame([], "userId int, movieId int, tag string, timestamp long")
+    links = movies.selectExpr("movieId", "movieId imdbId", "movieId tmdbId")
+    seen = []
+    monkeypatch.setattr(experiment, "sample_split", lambda a, b, n: seen.extend(a.inputFiles() + b.inputFiles()) or sample_split(a, b, n))
+    small = {"als": {"rank": 2, "max_iter": 1}, "svd": {"n_factors": 2, "n_epochs": 1}}
+    data = Dataset(train.unionAll(test), movies, tags, links)
+    run_experiment(data, str(tmp_path / "out"), n_runs=1, sample=100, **small)
+    assert seen and all("/labelled-" in path for path in seen)
+    assert spark.read.parquet(f"{tmp_path}/out/split/train").count() == 100
