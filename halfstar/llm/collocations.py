@@ -11,7 +11,8 @@ hashes of their words, which are checked to be distinct.
 
 Phrases grow word by word: chunks are narrowed to the runs in which all phrases of
 n words are frequent, and phrases of n + 1 words counted there. Tasks know that from a filter of fixed size, which
-can let infrequent phrases through but holds no frequent one back.
+can let infrequent phrases through but holds no frequent one back. Before phrases are counted by their words, the
+places of a filter are: a phrase whose place isn't reached often enough isn't frequent, and makes no row.
 """
 
 from __future__ import annotations
@@ -43,6 +44,7 @@ LONGEST_CHUNK = 2_000  # words after which a chunk ends without a trigger
 TASK_BYTES = 4_000_000  # text that a task holds at a time, about
 FILTER_BITS = 27  # the filter has 2^27 bits, 16 MB
 PROBES = 4
+BLOCKS = 256  # parts of the filter's places that are counted apart
 _ODD = np.array([pow(0x9E3779B97F4A7C15, j + 1, 2**64) for j in range(LONGEST + 1)], dtype=np.uint64)
 
 
@@ -258,15 +260,13 @@ def frequent_filter(phrases: DataFrame, n: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(word, pa.int64()), pa.array(joined.view(np.int64), pa.int64())], names=["word", "bits"])
 
     found = phrases.select("salt", "phrase").mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    whole = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    whole[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-    return whole
+    return _filled(found.column("word").to_numpy(), found.column("bits").to_numpy())
 
 
-def held_in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Whether the filter may hold each hash."""
+def held_in(bits: np.ndarray, h: np.ndarray, places: int = PROBES) -> np.ndarray:
+    """Whether the filter may hold each hash, by its first ``places``."""
     left = np.arange(len(h))
-    for i in range(PROBES):  # most go at the first place
+    for i in range(places):  # most go at the first place
         place = probes(h[left], i)
         left = left[(bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1]
     there = np.zeros(len(h), bool)
@@ -349,13 +349,70 @@ def narrowed(chunks: DataFrame, n: int, bits: np.ndarray) -> DataFrame:
     return chunks.select("salt", "chunk", "own", "n").mapInArrow(run, _RUNS)
 
 
-def phrase_counts(chunks: DataFrame, n: int) -> DataFrame:
-    """(salt, phrase, f): the phrases of n words, as hashes, that chunks (or their narrowed parts) own."""
+def _filled(words: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The filter in which these 64-bit words hold these bits."""
+    whole = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    whole[words] = bits.view(np.uint64)
+    return whole
+
+
+def reached_places(chunks: DataFrame, n: int, least: int) -> np.ndarray:
+    """Bits of the filter's places that phrases of n words reach at least ``least`` times, all phrases of a place together.
+
+    A task sends a row per block of places, with the places as gaps and the counts, up to ``least``, as arrays.
+    """
+    in_block = (1 << FILTER_BITS) // BLOCKS
+    small = np.uint8 if least < 256 else np.uint32
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in runs_of(batches):
+            at, of = part.places(n, owned=True)
+            if not len(at):
+                continue
+            place = probes(phrase_hash(part.words, at, n, part.salt[of]), 0).astype(np.int64)
+            order = np.argsort(place, kind="stable")
+            place = place[order]
+            first = np.flatnonzero(np.diff(place, prepend=-1))
+            place, times = place[first], np.minimum(np.add.reduceat(part.times[of[order]], first), least).astype(small)
+            block, place = np.divmod(place, in_block)
+            edges = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(block))
+            gaps = np.diff(place, prepend=0)
+            gaps[edges[:-1]] = place[edges[:-1]]
+            rows = [(int(block[a]), gaps[a:b].astype(np.uint16 if gaps[a:b].max() < 2**16 else np.uint32).tobytes(), times[a:b].tobytes()) for a, b in zip(edges, edges[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["block", "gaps", "times"])
+
+    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, gaps, times in zip(*(batch.column(c).to_pylist() for c in ("block", "gaps", "times"))):
+                held = sums.setdefault(block, np.zeros(in_block, np.uint32))
+                times = np.frombuffer(times, small)
+                place = np.cumsum(np.frombuffer(gaps, np.uint16 if len(gaps) == 2 * len(times) else np.uint32).astype(np.int64))
+                held[place] = np.minimum(held[place] + times, least)
+        for block, held in sums.items():
+            bits = np.packbits(held >= least, bitorder="little").view(np.int64)
+            word = np.flatnonzero(bits)
+            yield pa.RecordBatch.from_arrays([pa.array(word + block * (in_block // 64), pa.int64()), pa.array(bits[word], pa.int64())], names=["word", "bits"])
+
+    counted = chunks.select("salt", "chunk", "own", "n").mapInArrow(places, "block int, gaps binary, times binary")
+    found = counted.repartition(BLOCKS // 4, "block").mapInArrow(reached, "word long, bits long").toArrow()
+    return _filled(found.column("word").to_numpy(), found.column("bits").to_numpy())
+
+
+def phrase_counts(chunks: DataFrame, n: int, bits: np.ndarray | None = None) -> DataFrame:
+    """(salt, phrase, f): the phrases of n words, as hashes, that chunks (or their narrowed parts) own.
+
+    With ``bits`` (:func:`reached_places`), only those whose place is in it.
+    """
     names = [f"w{i}" for i in range(n)]
+    shared = chunks.sparkSession.sparkContext.broadcast(bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in runs_of(batches):
             at, of = part.places(n, owned=True)
+            if shared.value is not None:
+                some = held_in(shared.value, phrase_hash(part.words, at, n, part.salt[of]), 1)
+                at, of = at[some], of[some]
             # Phrases of equal words get one number, word by word.
             number = pd.factorize(part.salt[of])[0]
             for i in range(n):
@@ -384,7 +441,7 @@ def frequent_phrases(texts: DataFrame, least: int) -> tuple[DataFrame, DataFrame
     for k in range(2, LONGEST + 1):
         if k > 2:
             chunks = materialise(narrowed(chunks, k - 1, frequent_filter(levels[-1], k - 1)), f"chunks-{k}")
-        levels.append(materialise(phrase_counts(chunks, k).where(often), f"phrases-{k}"))
+        levels.append(materialise(phrase_counts(chunks, k, reached_places(chunks, k, least)).where(often), f"phrases-{k}"))
     return reduce(DataFrame.unionAll, [level.withColumn("k", F.lit(k)) for k, level in enumerate(levels, 1)]), words
 
 

@@ -86,6 +86,20 @@ def test_all_counts_from_the_dictionary(make_docs):
         assert got == {" ".join(p): c for p, c in want.items() if len(p) == n}
 
 
+@pytest.mark.parametrize("least", [30, 300])
+def test_infrequent_phrases_make_no_rows(make_docs, least):
+    """Their places are counted first; frequent phrases are counted in full, also where one place or one task has but few of them."""
+    chunks, words = parsed(make_docs, [("en", t) for _, t in texts()])
+    chunks = chunks.repartition(7, "chunk")
+    for n in (2, 3):
+        every = {tuple(r.phrase): r.f for r in collocations.phrase_counts(chunks, n).collect()}
+        some = {tuple(r.phrase): r.f for r in collocations.phrase_counts(chunks, n, collocations.reached_places(chunks, n, least)).collect()}
+        frequent = {p: f for p, f in every.items() if f >= least}
+        assert frequent and frequent.items() <= some.items() <= every.items()
+        assert len(some) - len(frequent) < 0.01 * (len(every) - len(frequent))
+    assert not collocations.reached_places(chunks.limit(0), 2, least).any()
+
+
 def test_words_with_one_hash_are_noticed(make_docs, monkeypatch):
     """Hashes that clash are drawn again."""
     good = collocations.count_words
