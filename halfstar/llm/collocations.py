@@ -44,7 +44,7 @@ LONGEST_CHUNK = 2_000  # words after which a chunk ends without a trigger
 TASK_BYTES = 4_000_000  # text that a task holds at a time, about
 FILTER_BITS = 27  # the filter has 2^27 bits, 16 MB
 PROBES = 4
-BLOCKS = 256  # parts of the filter's places that are counted apart
+BLOCKS = 256  # parts of the filter's places, and of all phrases, that are counted apart
 _ODD = np.array([pow(0x9E3779B97F4A7C15, j + 1, 2**64) for j in range(LONGEST + 1)], dtype=np.uint64)
 
 
@@ -331,7 +331,7 @@ def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Runs]:
         if batch.num_rows:
             held.append(batch)
             size += pc.sum(pc.binary_length(batch.column("chunk"))).as_py()
-        if size > 4 * TASK_BYTES:
+        if size > 2 * TASK_BYTES:
             yield whole()
             held, size = [], 0
     if held:
@@ -402,34 +402,59 @@ def reached_places(chunks: DataFrame, n: int, least: int) -> np.ndarray:
 def phrase_counts(chunks: DataFrame, n: int, bits: np.ndarray | None = None) -> DataFrame:
     """(salt, phrase, f): the phrases of n words, as hashes, that chunks (or their narrowed parts) own.
 
-    With ``bits`` (:func:`reached_places`), only those whose place is in it.
+    With ``bits`` (:func:`reached_places`), only those whose place is in it. A task sends its
+    phrases with their counts in lists, one a block of hashes, and these are added up.
     """
-    names = [f"w{i}" for i in range(n)]
     shared = chunks.sparkSession.sparkContext.broadcast(bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in runs_of(batches):
             at, of = part.places(n, owned=True)
+            h = phrase_hash(part.words, at, n, part.salt[of])
             if shared.value is not None:
-                some = held_in(shared.value, phrase_hash(part.words, at, n, part.salt[of]), 1)
-                at, of = at[some], of[some]
+                some = held_in(shared.value, h, 1)
+                at, of, h = at[some], of[some], h[some]
+            if not len(at):
+                continue
             # Phrases of equal words get one number, word by word.
             number = pd.factorize(part.salt[of])[0]
             for i in range(n):
                 code, distinct = pd.factorize(part.words[at + i])
                 number = pd.factorize(number * len(distinct) + code)[0]
-            size = int(number.max()) + 1 if len(number) else 0
+            size = int(number.max()) + 1
             counts, first = np.zeros(size, np.int64), np.empty(size, np.int64)
             np.add.at(counts, number, part.times[of])
             first[number[::-1]] = np.arange(len(number))[::-1]
-            columns = [part.salt[of[first]], *[part.words[at[first] + i] for i in range(n)]]
-            for a in range(0, size, 200_000):
-                some = slice(a, a + 200_000)
-                yield pa.RecordBatch.from_arrays([*[pa.array(c[some].view(np.int64)) for c in columns], pa.array(counts[some])], names=["salt", *names, "f"])
-
-    schema = ", ".join(f"{c} long" for c in ("salt", *names, "f"))
-    counted = chunks.select("salt", "chunk", "own", "n").mapInArrow(count, schema).groupBy("salt", *names).agg(F.sum("f").alias("f"))
-    return counted.select("salt", F.array(*names).alias("phrase"), "f")
+            block = (h[first] >> np.uint64(32)).astype(np.int64) % BLOCKS
+            order = np.argsort(block, kind="stable")
+            first, block = first[order], block[order]
+            columns = [part.salt[of[first]], *[part.words[at[first] + i] for i in range(n)], counts[order]]
+            columns = np.stack([c.view(np.int64) for c in columns])
+            edges = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(block))
+            lists = pa.array([columns[:, a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(block[edges[:-1]], pa.int32()), lists], names=["block", "phrases"])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}  # (salt, words, count) of the distinct phrases of a block
+        added: dict[int, list[np.ndarray]] = {}
+
+        def summed(block: int) -> np.ndarray:
+            lines = np.concatenate([*([sums[block]] if block in sums else []), *added.pop(block, [])], axis=1)
+            whole = pd.DataFrame(lines.T).groupby(list(range(n + 1)), sort=False)[n + 1].sum().reset_index()
+            return whole.to_numpy(np.int64).T
+
+        for batch in batches:
+            for block, phrases in zip(*(batch.column(c).to_pylist() for c in ("block", "phrases"))):
+                added.setdefault(block, []).append(np.frombuffer(phrases, np.int64).reshape(n + 2, -1))
+                if sum(x.shape[1] for x in added[block]) > max(20_000, sums[block].shape[1] if block in sums else 0):
+                    sums[block] = summed(block)
+        for block in {*sums, *added}:
+            salt, *words, f = summed(block)
+            phrase = pa.ListArray.from_arrays(pa.array(np.arange(0, n * len(f) + 1, n), pa.int32()), pa.array(np.stack(words, axis=1).ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(salt), phrase, pa.array(f)], names=["salt", "phrase", "f"])
+
+    lists = chunks.select("salt", "chunk", "own", "n").mapInArrow(count, "block int, phrases binary")
+    return lists.repartition(BLOCKS // 4, "block").mapInArrow(add_up, "salt long, phrase array<long>, f long")
 
 
 def frequent_phrases(texts: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
