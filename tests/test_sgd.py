@@ -1,5 +1,7 @@
 """Stratified gradient descent against going through the ratings one by one."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,8 @@ from pyspark.sql import functions as F
 from halfstar.models import sgd
 from halfstar.operators import evaluate
 from halfstar.operators.factors import gaussian
+from halfstar.session import scratch_base
+from halfstar.sources.writers import discard, materialise
 from tests.fixtures import planted, random_ratings, ratings
 
 
@@ -109,6 +113,33 @@ def test_strata_shuffle_nothing_and_equal_the_loop(spark):
             assert x.bias == pytest.approx(bias[k], abs=1e-12) and np.allclose(x.features, factors[k], atol=1e-12)
 
 
+def test_only_the_last_factors_are_kept(spark):
+    """Nine strata write their factors; what a later one has replaced, and the cells, are deleted, and the model isn't."""
+    _, df = random_ratings(spark, 30, 25, 300, hot_user=2)
+    held = lambda: {f for f in os.listdir(scratch_base(spark)) if f.startswith(("factors-", "cells-"))}
+    before = held()
+    model = sgd.sgd_fit(df, 4, 3, blocks=3)
+    assert held() == before
+    assert model.predict(df).where("prediction is not null").count() == df.count()
+    other = materialise(df, "other")
+    discard(other.where("userId = 3").select("movieId"))
+    assert not any(f.startswith("other-") for f in os.listdir(scratch_base(spark)))
+
+
+def test_discard_stays_in_the_scratch_folder(spark, tmp_path):
+    spark.range(5).write.parquet(f"{tmp_path}/kept")
+    discard(spark.read.parquet(f"{tmp_path}/kept"))
+    assert spark.read.parquet(f"{tmp_path}/kept").count() == 5
+
+
+def test_a_state_is_packed_and_unpacked(spark):
+    rows = [("user" if i % 3 else "item", i % 2, i, 1 + i, i / 7, [i / 3, -float(i)] if i % 5 else []) for i in range(60)]
+    df = spark.createDataFrame(rows, "side string, block int, id int, n long, bias double, features array<double>")
+    full = df.where("id % 5 > 0")
+    assert sorted(map(tuple, sgd.unpacked_state(sgd.packed_state(full), 2).collect())) == sorted(map(tuple, full.collect()))
+    assert sgd.packed_state(df.coalesce(1)).count() == 8  # by side, block, and whether there are factors
+
+
 def test_cold_ids_and_nothing(spark):
     _, df = random_ratings(spark, 10, 10, 60)
     model = sgd.sgd_fit(df, 3, 2)
