@@ -82,6 +82,34 @@ def test_topk_of_unseen_items(spark, monkeypatch):
     assert rows_of(got) == [tuple(r) for r in sorted(brute(p, q, 5, seen))]
 
 
+@pytest.mark.parametrize("scored", [2048, 11])
+def test_later_rounds_send_only_what_can_enter_a_list(spark, monkeypatch, scored):
+    """Users bring the k-th best score of earlier rounds; items below it make no rows, and those that equal it do."""
+    monkeypatch.setattr(factors, "SCORED_USERS", scored)
+    monkeypatch.setattr(factors, "SCORED_ITEMS", scored)
+    p, q, users, items = tables(spark, 20, 90, 4, seed=3)
+    best = brute(p, q, 6, {(4, 2)})
+    bars = {u: s for u, pos, _, s in best if pos == 3 and u != 7}
+    with_bars = users.join(spark.createDataFrame(sorted(bars.items()), "id int, bar double"), "id", "left")
+    seen = spark.createDataFrame([(4, 2), (4, 999), (999, 2)], "userId int, movieId int")
+    got = factors._scored(with_bars, 20, items, 90, 6, seen).collect()
+    for u in range(20):
+        mine = sorted((-round(r.score, 9), r.movieId) for r in got if r.userId == u)
+        assert [i for _, i in mine][:6] == [i for a, _, i, _ in best if a == u][: 3 if u in bars else 6]
+
+
+def test_products_that_reach_a_bar():
+    rng = np.random.default_rng(6)
+    p, q = rng.normal(size=(40, 5)), rng.normal(size=(70, 5))
+    whole = p @ q.T
+    bar = np.sort(whole, axis=1)[:, -4] - 1e-12
+    bar[3], bar[5] = np.inf, -np.inf
+    products = factors.Products(p, q)
+    row, place, score = products.reaching(products.rough(slice(0, 40), slice(0, 70)), slice(0, 40), slice(0, 70), bar)
+    found = {(int(r), int(i)) for r, i, s in zip(row, place, score) if s >= bar[r]}
+    assert found == {(r, i) for r in range(40) for i in range(70) if whole[r, i] >= bar[r]}
+
+
 def test_ties_and_nothing(spark):
     make = lambda rows: spark.createDataFrame(rows, "id int, features array<float>")
     users, items = make([(1, [1.0, 0.0]), (2, [0.0, 0.0])]), make([(i, [1.0, float(i)]) for i in (5, 3, 9, 1)])
